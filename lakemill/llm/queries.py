@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemill.llm.huffman import round_trip
+from lakemill.llm.packing import pack
 from lakemill.llm.simhash import simhash_components
 from lakemill.llm.token_counts import count_tokens
 
@@ -23,6 +24,10 @@ def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_huffman": op4_huffman,
+    "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
 }
 
