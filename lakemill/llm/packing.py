@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakemill.llm.batches import slices
 from lakemill.llm.store import materialise
 from lakemill.llm.tokens import encoder, public_path
 
@@ -149,7 +150,7 @@ def plan(histogram: dict[int, int], room: int = LENGTH) -> tuple[dict[int, np.nd
 def _encode(path: str, end: int, room: int):
     def run(batches):
         own, before = encoder(path), 0
-        for batch in batches:
+        for batch in slices(batches):
             n, crcs, full_before = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.append(own.ids(text), np.uint32(end)).astype("<u4")
@@ -167,7 +168,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _pieces(places: dict[int, np.ndarray], packed: int, room: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 4096):
             n, full, rank = (batch.column(c).fill_null(0).to_numpy() for c in ("n", "full", "rank"))
             crcs = batch.column("crcs")
             count = (n + room - 1) // room

@@ -13,13 +13,14 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Latin letters with their signs, and general punctuation.
 _SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ž‐-―‘-‟†-•…€]*")
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 250_000
 
 
 def public_path(name: str) -> str:
@@ -28,6 +29,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _word_pattern() -> re.Pattern:
+    """The split pattern of lower-case word vocabularies, its Unicode classes written out for the safe characters."""
+    safe = [c for c in map(chr, range(0x2100)) if _SAFE.fullmatch(c)]
+    letters, numbers = ("".join(re.escape(c) for c in safe if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\s{letters}{numbers}]+")
+
+
 def _bytes_of_characters() -> dict[str, int]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -50,7 +58,7 @@ class _Words(dict):
     def __missing__(self, word):
         if len(self) >= _WORDS_KEPT:
             self.clear()
-        ids = self[word] = np.array(self.ids_of(word), "<u2").tobytes()
+        ids = self[word] = array("H", self.ids_of(word)).tobytes()
         return ids
 
 
@@ -59,14 +67,21 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.fast = self._fast(spec)
 
+    @property
+    def library(self):
+        """Loaded where a text asks for it: it takes more memory than the rest of a worker."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def _fast(self, spec):
         """A function from text to little-endian 16-bit ids, or None for a kind of file that it doesn't know."""
         import tiktoken
@@ -91,14 +106,14 @@ class Encoder:
             split = spec["pre_tokenizer"]["pretokenizers"][0]
             if split.get("behavior") != "Removed" or not split.get("invert"):
                 return None
-            import regex
-
-            find = regex.compile(split["pattern"]["Regex"]).findall
+            if split["pattern"]["Regex"] != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+                return None
+            find = _word_pattern().findall
             ranks.setdefault(b"\xff", (1 << 16) + 1)  # never left alone: a word's last byte has its own symbol
             core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
             words = _Words(lambda w: core.encode_single_piece(w.encode() + b"\xff"))
             get = words.__getitem__
-            return lambda text: b"".join(map(get, find(unicodedata.normalize("NFC", text).lower())))
+            return lambda text: b"".join(map(get, find(text.lower())))  # NFC leaves every safe character as it is
         if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             return None
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
