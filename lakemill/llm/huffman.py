@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.llm.batches import slices
 from lakemill.llm.store import fresh_path, remove
 from lakemill.llm.tokens import encoder, public_path
 
@@ -110,7 +111,7 @@ def _tokenise(path: str, end: int, bounds: np.ndarray):
     def run(batches):
         own = encoder(path)
         tail = np.array([end], "<u2").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [own.ids(t).astype("<u2").tobytes() + tail for t in batch.column(1).to_pylist()]
             part = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
@@ -130,11 +131,8 @@ def _place(batches):
 
 def _histogram(batches):
     total = np.zeros(IDS, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=IDS) if len(ids.as_buffer()) > IDS else 0
-            if len(ids.as_buffer()) <= IDS:
-                np.add.at(total, np.frombuffer(ids.as_buffer(), "<u2"), 1)
+    for batch in slices(batches):
+        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=IDS)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -157,7 +155,7 @@ def _encode(lengths: np.ndarray, offsets: dict[int, int]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), types, strict=True)], names=[f.split()[0] for f in _FILE.split(", ")])
 
         held, n = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             blocks = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "start", "ids")), strict=True):
                 if held and (row[0] != held[0][0] or n + row[2] > BLOCK or row[3] != held[-1][3] + held[-1][2]):
@@ -205,11 +203,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
 def _decode(lengths: np.ndarray):
     def run(batches):
         _, by_window, length = canonical(lengths)
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             while at < batch.num_rows:
                 some, tokens = [], 0
-                while at < batch.num_rows and tokens < 1 << 22:
+                while at < batch.num_rows and tokens < 1 << 21:
                     some.append(at)
                     tokens += batch.column("n")[at].as_py()
                     at += 1
