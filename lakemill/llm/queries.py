@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakemill.llm.embedding_dedup import embedding_components
 from lakemill.llm.huffman import round_trip
+from lakemill.llm.mixing import mix
 from lakemill.llm.packing import pack
 from lakemill.llm.simhash import simhash_components
 from lakemill.llm.token_counts import count_tokens
 from lakemill.llm.topk import top_k
+from lakemill.llm.toxicity import score
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
 def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"))
 
@@ -42,13 +48,19 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
     "op4_huffman": op4_huffman,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op9_top_k": op9_top_k,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
