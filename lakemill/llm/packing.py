@@ -68,16 +68,36 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.
     return patterns, x
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-5, most: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def inverted(matrix: np.ndarray) -> np.ndarray | None:
+    """The inverse by Gauss-Jordan steps, or None; a threaded library may block in a driver that has started a JVM."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        if abs(work[p, k]) < 1e-9:
+            return None
+        if p != k:
+            work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        rows = np.flatnonzero(work[:, k])
+        rows = rows[rows != k]
+        work[rows] -= work[rows, k, None] * work[k]
+    return work[:, m:].copy()
+
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-5, most: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """(patterns by row, how often each) of an optimal basis, to a relative ``gap`` of the bound that the duals prove."""
     patterns, x = first_basis(lengths, demand, room)
-    inverse = np.linalg.inv(patterns.T)
+    inverse = inverted(patterns.T)
+    if inverse is None:
+        return patterns.astype(np.int64), x
     duals, sound = inverse.sum(axis=0), (patterns.copy(), x.copy())
     for turn in range(most):
         value, column = best_pattern(lengths, duals, room)
         if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= max(gap * x.sum(), 1e-6):
             break
-        step = inverse @ column
+        some = np.flatnonzero(column)  # few: no dense product, whose threads would wait for Spark's
+        step = (inverse[:, some] * column[some]).sum(axis=1)
         up = np.flatnonzero(step > 1e-7)
         ratio = x[up] / step[up]
         theta = max(0.0, float(ratio.min()))
@@ -91,12 +111,12 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, gap: f
         inverse[out] = row
         duals += row * (1 - value)
         patterns[out] = column
-        if turn % 50 == 49:  # against rounding errors; a basis that has lost its rank ends the search at the last sound one
-            if np.linalg.cond(patterns, 1) > 1e10:
+        if turn % 200 == 199:  # against rounding errors; a basis that has lost its rank ends the search at the last sound one
+            inverse = inverted(patterns.T)
+            if inverse is None:
                 patterns, x = sound
                 break
-            inverse = np.linalg.inv(patterns.T)
-            x, duals = np.maximum(inverse @ demand, 0), inverse.sum(axis=0)
+            x, duals = np.maximum((inverse * demand).sum(axis=1), 0), inverse.sum(axis=0)
             sound = patterns.copy(), x.copy()
     return patterns.astype(np.int64), x
 
