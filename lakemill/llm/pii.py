@@ -181,4 +181,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     new = F.aggregate("all", first, step, lambda acc: F.concat(acc["out"], F.call_function("substring", text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
     new = F.when(F.col("all").isNull(), text).otherwise(new)
     fields = [new.alias(c) if c == text_col else F.when(text.isNull(), F.col(f"row.{c}")).otherwise(F.char_length(new).cast("long")).alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns]
-    return kept.join(by, "uid", "left").select(*fields)
+    return kept.join(by.hint("shuffle_hash"), "uid", "left").select(*fields)
