@@ -68,7 +68,7 @@ def index_range_inclusive(t):
     return R.index_range(t, ["o_orderkey"], (100,), (200,)).select("o_orderkey")
 
 
-@query("select l_orderkey, l_linenumber from lineitem where (l_orderkey, l_linenumber) >= (10, 2) and (l_orderkey, l_linenumber) <= (20, 3)", "lineitem")
+@query("select l_orderkey, l_linenumber from lineitem where (l_orderkey > 10 or l_orderkey = 10 and l_linenumber >= 2) and (l_orderkey < 20 or l_orderkey = 20 and l_linenumber <= 3)", "lineitem")
 def index_range_composite(t):
     return R.index_range(t, ["l_orderkey", "l_linenumber"], (10, 2), (20, 3)).select("l_orderkey", "l_linenumber")
 
