@@ -94,3 +94,53 @@ def test_components_of_a_path(spark):
 
 def test_fingerprint_of_nothing_is_zero():
     assert fingerprint(None) == fingerprint("\x0b\x0c ") == 0
+
+
+def _jaccard(a: str, b: str, words: int = 5) -> float:
+    x, y = ({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_of_similarity_and_above_share_a_component(spark):
+    import random
+
+    from lakemill.llm.simhash import near_duplicate_components
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    docs, near, far = [], [], []
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        docs.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            own = base.copy()
+            for at in rnd.sample(range(300), 2 * k):
+                own[at] = word()
+            docs.append((10 * g + k, " ".join(own)))
+            near.append((10 * g, 10 * g + k))
+        far.append((10 * g + 4, " ".join(base[:110] + [word() for _ in range(190)])))
+    docs += far + [(1000, None), (1001, ""), (1002, "one"), (1003, "one"), (1003, "one")]
+    rows = near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as component_id", "2 as fp")).collect()
+    assert len(rows) == len(docs)
+    of = {r["doc_id"]: r["component_id"] for r in rows}
+    texts = dict(docs)
+    close = [(a, b) for a, b in near if _jaccard(texts[a], texts[b]) >= 0.85]
+    assert len(close) >= 80 and sum(of[a] == of[b] for a, b in close) >= 0.98 * len(close)
+    assert all(of[i] == i for i, _ in far)
+    assert of[1000] == of[1001] == 1000 and of[1002] == of[1003] == 1002
+
+
+def test_a_long_run_of_one_key_becomes_a_forest():
+    from lakemill.llm.simhash import _wide_forest, wide_fingerprint
+
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(0, 400, 4)] + [" ".join(f"x{j}y{k}" for k in range(50)) for j in range(60)]
+    fp = np.frombuffer(b"".join(map(wide_fingerprint, texts)), ">u8").reshape(-1, 8).astype(np.uint64)
+    a, b = _wide_forest(fp, 0, 85)
+    assert len(a) == 99 and set(b) | {a.min()} == set(range(100))
+
+
+def test_no_documents_have_no_near_duplicates(spark):
+    from lakemill.llm.simhash import near_duplicate_components
+
+    assert near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
