@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.mixing import mixed_documents
 from lakemill.llm.packing import pack
 from lakemill.llm.pii import redact
-from lakemill.llm.simhash import simhash_components
+from lakemill.llm.simhash import near_duplicate_components
 from lakemill.llm.store import materialise
 from lakemill.llm.toxicity import score
 
@@ -22,11 +22,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; rows that share an id are one document.
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays; rows
+    that share an id are one document.
 
     Rows without an id can't be told apart by it and stay.
     """
-    found = materialise(simhash_components(docs), "components")
+    found = materialise(near_duplicate_components(docs), "components")
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
