@@ -55,4 +55,5 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_path: str
     texts = own.join(missing, (own.digest == missing.digest) & own.doc_id.eqNullSafe(F.col("first"))).select(own.digest, "text")
     new = texts.mapInArrow(_count(path), "digest binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return keys.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = materialise(stored(), "counts")  # joined from a table, so that Spark can split a digest of very many copies
+    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
