@@ -341,7 +341,7 @@ class Database:
             raise NameError_(f"{name} has no column {column}")
         return table
 
-    def _drop_column(self, name: str, soft=False, guard=False, **args) -> Result:
+    def _drop_column(self, name: str, /, soft=False, guard=False, **args) -> Result:
         column = args["name"]
         if guard and column not in self.table(name).names():
             return Result("noop")
@@ -352,7 +352,7 @@ class Database:
         self._publish(name, replace(table, df=table.df.drop(column), columns=tuple(c for c in table.columns if c["name"] != column), constraints=kept))
         return Result("column dropped")
 
-    def _rename_column(self, name: str, soft=False, to="", **args) -> Result:
+    def _rename_column(self, name: str, /, soft=False, to="", **args) -> Result:
         old = args["name"]
         table = self._column_of(name, old)
         if to in table.names():
