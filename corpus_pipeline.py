@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id can't be told apart by it and stay.
     """
     found = materialise(near_duplicate_components(docs), "components")
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    stay = found.where("doc_id = component_id").select("doc_id").distinct().hint("shuffle_hash")  # no bound: never broadcast
     kept = docs.join(stay, "doc_id", "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
