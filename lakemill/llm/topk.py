@@ -61,7 +61,7 @@ def _search(k: int):
                 if least is not None and least > 0:
                     if size * norm[0] * (1 + 1e-9) < least:
                         continue
-                    local = least / (size * norm[0])
+                    local = least / (size * norm[0] * (1 + 1e-9))
                     if local >= _COORDINATE:
                         axis = int(np.abs(row).argmax())
                         if axis not in by_axis:
@@ -70,7 +70,9 @@ def _search(k: int):
                         at, values = by_axis[axis]
                         local, own = min(local, 1.0), row[axis] / size
                         wide = np.sqrt(max(0.0, (1 - local**2) * (1 - own**2))) + 1e-9
-                        some = at[np.searchsorted(values, own * local - wide) : np.searchsorted(values, own + 1e-9 if own >= local else own * local + wide, "right")] if own < local else at[np.searchsorted(values, own * local - wide) :]
+                        low = -np.inf if own <= -local else own * local - wide  # the axis' far end lies within the cone
+                        high = np.inf if own >= local else own * local + wide
+                        some = at[np.searchsorted(values, low) : np.searchsorted(values, high, "right")]
                     else:
                         some = np.arange(np.searchsorted(-norm * size * (1 + 1e-9), -least, "right"))
                 own_p, own_ids = (p, ids) if some is None else (p[some], ids[some])

@@ -66,6 +66,20 @@ def test_top_k_is_exact(spark, kind):
     assert [tuple(r) for r in got] == sorted(want)
 
 
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_top_k_near_an_axis(spark, sign):
+    rnd = np.random.default_rng(6)
+    query = np.r_[sign * 0.997, 0.077, np.zeros(14)]
+    off = np.c_[np.full(100, sign * np.cos(np.radians(52))), rnd.standard_normal((100, 15))]
+    off[:, 1:] *= np.sin(np.radians(52)) / np.linalg.norm(off[:, 1:], axis=1)[:, None]
+    near = query + 0.02 * rnd.standard_normal((100, 16))
+    vectors = np.r_[query[None, :] * 9, off * rnd.uniform(10.5, 11, (100, 1)), near * 9.5]
+    got = top_k(table(spark, vectors.tolist()), k=7, every=1000, block=100).orderBy("rank")
+    whole = np.floor(64 * vectors).astype(np.int64)
+    best = sorted((-int(s), j) for j, s in enumerate(whole @ whole[0]) if j)[:7]
+    assert [(r.vec_id, r.score) for r in got.collect()] == [(j, -s) for s, j in best] and all(j > 100 for _, j in best)
+
+
 def test_top_k_of_nothing(spark):
     assert top_k(table(spark, [None, []]).where("vec_id = 0")).collect() == []
     rows = top_k(table(spark, [[1.0], [2.0], [2.0]], [20, 20, 3])).select("query_id", "rank", "vec_id", "score").collect()
