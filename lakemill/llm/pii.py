@@ -28,7 +28,7 @@ SHAPES = (
     ("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", "text like '%+%'"),
     ("email", False, r"[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]{1,63}){1,5}", "text rlike '[\\\\[({] ?at ?[\\\\])}]'"),
     ("phone", False, r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[ .-]{0,2})(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9.-])", "text rlike '[0-9]{3}[-. ][0-9]{4}'"),
-    ("secret", False, r"(?<![A-Za-z])(?:token|password|passwd|secret|api[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}\x22?[A-Za-z0-9_/+-]{12,256}+", "text rlike '(token|password|passwd|secret|key) {0,3}[=:]'"),
+    ("secret", False, r"(?<![A-Za-z])(?:token|password|passwd|secret|api[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}\x22?[A-Za-z0-9_/+-]{12,}+", "text rlike '(token|password|passwd|secret|key) {0,3}[=:]'"),
     ("id", False, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'"),
 )
 _GAZETTEER = {"email": "mail|contact|write|reach", "ip": "ip|host|server|address|from", "card": "card|visa|credit|pay|account", "phone": "tel|phone|call|fax|mobile|cell|contact", "secret": "token|password|passwd|secret|key", "id": "ssn|social|security|id|passport"}

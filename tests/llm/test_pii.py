@@ -72,6 +72,13 @@ def test_redaction(spark):
     assert redact(docs.limit(0)).collect() == []
 
 
+def test_secrets_of_any_length_go_whole(spark):
+    rnd = random.Random(4)
+    rows = [(n, f"login: password={''.join(rnd.choices('0123456789abcdef', k=n))} ok") for n in (12, 40, 255, 256, 257, 300, 5000, 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in redact(docs).collect()} == {n: "login: [SECRET] ok" for n, _ in rows}
+
+
 def test_reliable_labelers_are_recognised():
     rnd, counts = random.Random(1), {}
     for _ in range(20_000):
