@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lakemill.llm.embedding_dedup import embedding_components, least_count
+from lakemill.llm.embedding_dedup import both_beyond, embedding_components, least_count, lists_for
 from lakemill.llm.topk import top_k
 
 ODD = [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0], [1e300] * 16, [-0.0] * 16]
@@ -43,6 +43,26 @@ def test_links_and_components(spark):
     assert embedding_components(table(spark, vectors).limit(0)).collect() == []
 
 
+def test_rows_that_share_or_lack_an_id(spark):
+    a, near, b, c = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    ids = [3000, 5000, 5000, 7000, None, None, None, 9000]
+    got = embedding_components(table(spark, [a, near, b, b, c, c, None, [0.0] * 3], ids)).collect()
+    want = [(3000, 1, 3000, True), (5000, 1, 3000, False), (5000, 1, 5000, True), (7000, 1, 5000, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (9000, 0, 9000, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    none = embedding_components(table(spark, [None, None, [0.0]], [1000, 1000, 2000])).collect()
+    assert sorted(map(tuple, none)) == [(1000, 0, 1000, True), (1000, 0, 1000, True), (2000, 0, 2000, True)]
+
+
+def test_lists_share_pairs_at_the_threshold():
+    for total in (100, 50_000, 10**9):
+        tau, lists, members = lists_for(total, 0.9)
+        rnd = np.random.default_rng(2)
+        x = rnd.standard_normal((200_000, 2))
+        hit = ((x[:, 0] > 1.3) & (0.9 * x[:, 0] + np.sqrt(0.19) * x[:, 1] > 1.3)).mean()
+        assert both_beyond(1.3, 0.9) == pytest.approx(hit, rel=0.05)
+        assert (1 - both_beyond(tau, 0.9)) ** lists < 0.0021 and lists * min(0.1, members / total) < 20
+
+
 def test_the_count_keeps_its_recall():
     assert 10 <= least_count() <= 20 and least_count(recall=0.5) > least_count()
 
