@@ -104,3 +104,15 @@ def test_top_k_of_nothing(spark):
     assert top_k(table(spark, [None, []]).where("vec_id = 0")).collect() == []
     rows = top_k(table(spark, [[1.0], [2.0], [2.0]], [20, 20, 3])).select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, rows)) == [(20, 1, 3, 8192), (20, 1, 3, 16384), (20, 2, 20, 8192), (20, 2, 20, 8192)]
+
+
+def test_top_k_among_rows_without_an_id(spark):
+    rows = top_k(table(spark, [[1.0], [2.0], [2.0], [3.0]], [20, None, 7, None])).collect()
+    assert [tuple(r) for r in sorted(rows)] == [(20, 1, None, 12288), (20, 2, 7, 8192), (20, 3, None, 8192)]
+
+
+def test_blocks_group_neighbouring_lengths():
+    from lakemill.llm.topk import _blocks
+
+    got = _blocks([(4, 9, 5, 1.0), (4, 3, 25, 9.0), (4, 2, 4, 9.5), (4, 1, 3, 9.9), (5, 0, 1, 2.0)], 10)
+    assert got == [(4, 1, 0, 1, 9.9), (4, 2, 0, 1, 9.9), (4, 3, 1, 3, 9.0), (4, 9, 4, 1, 1.0), (5, 0, 5, 1, 2.0)]
