@@ -1,8 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are words and word beginnings, hashed to 32 bits. Those whose share among toxic and other documents differs by a
-z-test, the strongest first, are the machine's features; weights for each and a short vector for each, whose inner products
-weigh pairs, are fitted by Adam to the logistic loss. Scores see the text alone.
+Terms are words and word beginnings, hashed to 32 bits, and all of them are tested. A term enters the machine where a score
+test on what the machine so far leaves unexplained speaks for it: alone, or in company. For company, power iteration finds
+the directions in which pairs of terms explain most of the residuals of one half of the rows, and the other half tests each
+term against them, so a word that is neutral by itself enters if it is toxic next to another. Weights for each term and a
+short vector for each, whose inner products weigh pairs, are then fitted by Adam to the logistic loss. Scores see the text
+alone.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.batches import slices
 
-#: Bounds of the training: labelled rows (those of the smallest hashes), features, and factors.
-MAX_LABELS, MAX_TERMS, FACTORS = 50_000, 2048, 4
-_WORD, _PREFIX, _KEPT = re.compile(r"[^\W\d_]+"), 5, 250_000
+#: The bound of the training: so many labelled rows (those of the smallest hashes). FACTORS: length of a term's vector.
+MAX_LABELS, FACTORS = 20_000, 4
+#: A score test's deviations, and the fewest rows that must hold a term for its normal law to be taken.
+_SURE, _SUPPORT = 4.0, 3
+_WORD, _PREFIX, _KEPT, _ENTRIES = re.compile(r"[^\W\d_]+"), 5, 250_000, 1 << 20
 
 
 def _hash(term: str) -> int:
@@ -48,52 +53,80 @@ class Words(dict):
         return set().union(*map(self.__getitem__, set(_WORD.findall((text or "").lower()))))
 
 
-def _count_terms(batches):
-    words, hashes, toxic = Words(), [], []
+def _features(batches):
+    words = Words()
+    for batch in slices(batches):
+        rows = [np.sort(np.fromiter(words.features(t), np.uint32)).tobytes() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary()), batch.column(2)], names=["of", "terms", "label"])
 
-    def counted():
-        h, t = np.concatenate(hashes), np.concatenate(toxic)
-        own, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.bincount(at, t, len(own)).astype(np.int64))], names=["h", "n", "pos"])
 
-    held = 0
-    for batch in slices(batches):
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.fromiter(words.features(text), np.int64)
-            hashes.append(found)
-            toxic.append(np.full(len(found), label, np.int8))
-            held += len(found)
-        if held > 2_000_000:
-            yield counted()
-            hashes, toxic, held = [], [], 0
-    if held:
-        yield counted()
-
-
-def _active(of: dict[int, int]):
-    def run(batches):
-        words = Words(of)
-        for batch in slices(batches):
-            rows = [sorted(words.features(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], names=["terms", "label"])
+class Rows:
+    """Rows of terms side by side: which row and which term each entry is."""
 
-    return run
+    def __init__(self, rows: list[np.ndarray]):
+        size = np.array([len(r) for r in rows], np.int64)
+        self.n, self.doc, self.hashes = len(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate([*rows, np.zeros(0, np.uint32)])
+        self.known, at = np.unique(self.hashes, return_inverse=True)
+        self.term = at.astype(np.int32)
+
+    def _parts(self):
+        return (slice(k, k + _ENTRIES) for k in range(0, len(self.doc), _ENTRIES))
+
+    def by_row(self, value: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self.doc[p], value[self.term[p]], self.n) for p in self._parts()), np.zeros(self.n))
 
+    def by_term(self, value: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self.term[p], value[self.doc[p]], len(self.known)) for p in self._parts()), np.zeros(len(self.known)))
 
-def fit(rows: list[list[int]], labels: np.ndarray, n_terms: int, factors: int = FACTORS, turns: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, weights, factors) of a factorization machine on binary features."""
-    rnd = np.random.default_rng(7)
-    size = np.array([len(r) for r in rows])
-    doc, idx = np.repeat(np.arange(len(rows)), size), np.array([t for r in rows for t in r], np.int64)
+
+def alone(rows: Rows, labels: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Terms whose own rows leave more (or less) unexplained by the probabilities ``p`` than chance would."""
+    support, spread = rows.by_term(np.ones(rows.n)), np.sqrt(rows.by_term(p * (1 - p)))
+    return np.flatnonzero((support >= _SUPPORT) & (support < rows.n) & (np.abs(rows.by_term(labels - p)) >= _SURE * np.maximum(spread, 1e-12)))
+
+
+def company(rows: Rows, labels: np.ndarray, p: np.ndarray, factors: int = FACTORS, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, vectors): those that residuals of one half of the rows pair up with others, as the other half confirms.
+
+    A pair is found where it is stronger than the strongest direction that chance makes of all terms; fainter ones are not.
+    """
+    half, residual = np.arange(rows.n) % 2 == 0, labels - p
+    support = rows.by_term(np.ones(rows.n))
+    scale = np.where(support >= _SUPPORT, 1 / np.sqrt(np.maximum(support, 1)), 0.0)
+    v = np.random.default_rng(5).standard_normal((len(rows.known), factors)) * (scale > 0)[:, None]
+    learnt, tested, chance = np.where(half, residual, 0.0), np.where(half, 0.0, residual), np.where(half, 0.0, p * (1 - p))
+
+    def pulled(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """What the other terms of a direction pull each term to."""
+        return rows.by_term(by * rows.by_row(v * scale)) - rows.by_term(by) * scale * v
+
+    for _ in range(turns):
+        for k in range(factors):
+            w = pulled(v[:, k], learnt) * scale
+            for j in range(k):
+                w = w - (w * v[:, j]).sum() * v[:, j]
+            v[:, k] = w / max(np.sqrt((w**2).sum()), 1e-12)
+    signs = np.zeros((len(rows.known), factors))
+    for k in range(factors):
+        spread = np.sqrt(np.maximum(rows.by_term(chance * rows.by_row(v[:, k] * scale) ** 2), 1e-12))
+        hit = (scale > 0) & (pulled(v[:, k], tested) * np.sign(v[:, k]) >= _SURE * spread)
+        signs[hit, k] = np.sign(v[hit, k])
+    sure = (signs != 0).any(axis=1)
+    return np.flatnonzero(sure), signs[sure]
+
+
+def fit(doc: np.ndarray, idx: np.ndarray, labels: np.ndarray, vectors: np.ndarray, turns: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, weights, vectors) of a factorization machine on binary features: entry k says that row doc[k] has term idx[k]."""
+    n, (n_terms, factors) = len(labels), vectors.shape
     prior = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    params = [np.array([np.log(prior / (1 - prior))]), np.zeros(n_terms), 0.05 * rnd.standard_normal((n_terms, factors))]
+    params = [np.array([np.log(prior / (1 - prior))]), np.zeros(n_terms), vectors.copy()]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for turn in range(1, turns + 1):
         bias, w, f = params
         own = f[idx]
-        s = np.stack([np.bincount(doc, own[:, k], len(rows)) for k in range(factors)], axis=1)
-        y = bias[0] + np.bincount(doc, w[idx], len(rows)) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (own**2).sum(1), len(rows)))
-        g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels) / len(rows)
+        s = np.stack([np.bincount(doc, own[:, k], n) for k in range(factors)], axis=1)
+        y = bias[0] + np.bincount(doc, w[idx], n) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (own**2).sum(1), n))
+        g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels) / n
         pair = g[doc, None] * (s[doc] - own)
         grads = [np.array([g.sum()]), np.bincount(idx, g[doc], n_terms) + decay * w, np.stack([np.bincount(idx, pair[:, k], n_terms) for k in range(factors)], axis=1) + decay * f]
         for k, grad in enumerate(grads):
@@ -102,16 +135,44 @@ def fit(rows: list[list[int]], labels: np.ndarray, n_terms: int, factors: int =
     return float(params[0][0]), params[1], params[2]
 
 
-def _score(of: dict[int, int], bias: float, weights: np.ndarray, factors: np.ndarray):
+class Machine:
+    """The fitted machine: ``of`` numbers the terms that are in it."""
+
+    def __init__(self, of: dict[int, int], bias: float, weights: np.ndarray, vectors: np.ndarray):
+        self.of, self.bias, self.weights, self.vectors = of, bias, weights, vectors
+
+    def raw(self, features: set[int]) -> float:
+        at = list(features)
+        own = self.vectors[at]
+        return float(self.bias + self.weights[at].sum() + 0.5 * ((own.sum(0) ** 2).sum() - (own**2).sum()))
+
+
+def learn(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS) -> Machine:
+    """A machine over the terms that count alone, then with those that count in company as well."""
+    every = Rows(rows)
+    vectors = np.zeros((len(every.known), factors))
+    inside = np.zeros(len(every.known), bool)
+    inside[alone(every, labels, np.full(every.n, labels.mean()))] = True
+    vectors[:] = 0.05 * np.random.default_rng(7).standard_normal(vectors.shape)
+    for last in (False, True):
+        number = np.cumsum(inside) - 1
+        own = inside[every.term]
+        doc, idx = every.doc[own], number[every.term[own]]
+        bias, weights, fitted = fit(doc, idx, labels, vectors[inside])
+        if not last:
+            s = np.stack([np.bincount(doc, fitted[idx, k], every.n) for k in range(factors)], axis=1)
+            y = bias + np.bincount(doc, weights[idx], every.n) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (fitted[idx] ** 2).sum(1), every.n))
+            found, signs = company(every, labels, 1 / (1 + np.exp(-np.clip(y, -30, 30))), factors)
+            inside[found] = True
+            vectors[found] += 0.3 * signs
+    return Machine({int(h): k for k, h in enumerate(every.known[inside])}, bias, weights, fitted)
+
+
+def _score(machine: Machine):
     def run(batches):
-        words = Words(of)
+        words = Words(machine.of)
         for batch in slices(batches):
-            out = []
-            for text in batch.column(1).to_pylist():
-                at = list(words.features(text))
-                own = factors[at]
-                y = bias + weights[at].sum() + 0.5 * ((own.sum(0) ** 2).sum() - (own**2).sum())
-                out.append(1 / (1 + np.exp(-np.clip(y, -30, 30))))
+            out = [1 / (1 + np.exp(-np.clip(machine.raw(words.features(t)), -30, 30))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
     return run
@@ -122,32 +183,31 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_terms: int = MAX_TERMS, id_col: str = "doc_id", text_col: str = "text"):
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text"):
     """The scoring function for (doc_id, text, ...) batches, from labelled rows outside the held-out fold.
 
     With labels of one class, or none, every text has the share of toxic labels (0 without any) as its score. The chosen
-    labels, at most ``max_labels``, are broadcast, so only labelled texts leave the scan; repeated labels of an id must agree.
+    labels, at most ``max_labels``, are broadcast, so only labelled texts leave the scan; of repeated labels of an id the
+    larger counts. The hashed terms of the chosen texts are all that reaches the driver.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("of")).agg(F.max("toxic").cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("of"), "of").limit(max_labels)
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(own), texts.own == own.of).select("text", "label")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    n, pos = total["n"], total["pos"]
+    rows = texts.join(F.broadcast(own), texts.own == own.of).select("text", F.col("of").cast("string").alias("of"), "label")
+    found = sorted((r["of"], bytes(r["terms"]), r["label"]) for r in rows.mapInArrow(_features, "of string, terms binary, label int").collect())
+    n, pos = len(found), sum(label for *_, label in found)
     if not 0 < pos < n:
         share = min(max(pos / n if n else 0.0, 1e-9), 1 - 1e-9)
-        return _score({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    counts = rows.mapInArrow(_count_terms, "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    share = F.col("n") / n
-    z = (F.col("pos") / pos - (F.col("n") - F.col("pos")) / (n - pos)) / F.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
-    strong = counts.where((F.col("n") >= max(3, n // 5000)) & (F.col("n") < n)).withColumn("z", F.abs(z)).where("z >= 4").orderBy(F.col("z").desc(), "h").limit(max_terms)
-    of = {r["h"]: k for k, r in enumerate(strong.select("h", "z").collect())}
-    active = rows.mapInArrow(_active(of), "terms array<int>, label int").collect()
-    return _score(of, *fit([r["terms"] for r in active], np.array([r["label"] for r in active], float), len(of)))
+        return _score(Machine({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS))))
+    return _score(learn([np.frombuffer(own, np.uint32) for _, own, _ in found], np.array([label for *_, label in found], float)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``, and the columns ``keep``; null texts are empty."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``, and the columns ``keep``.
+
+    Null texts are empty; long ones are read whole. Rows with a null or repeated id are rows of their own (a null id is in
+    training's fold but has no label). No rows in, none out; other columns are not read. Without labels nothing is toxic.
+    """
     run = train(docs, labels, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     kinds = dict(rows.dtypes)

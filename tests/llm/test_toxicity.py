@@ -48,12 +48,31 @@ def test_few_or_no_labels(spark):
 def test_pairs_are_learned():
     rows = [[0], [1], [0, 1], []] * 100
     labels = np.array([0.0, 0, 1, 0] * 100)
-    bias, w, f = fit(rows, labels, 2, turns=600)
+    doc, idx = np.repeat(np.arange(400), [len(r) for r in rows]), np.array([t for r in rows for t in r])
+    bias, w, f = fit(doc, idx, labels, 0.05 * np.random.default_rng(7).standard_normal((2, 4)), turns=600)
     def y(r):
         return bias + w[r].sum() + 0.5 * ((f[r].sum(0) ** 2).sum() - (f[r] ** 2).sum())
     assert y([0, 1]) > 0 and max(y([0]), y([1]), y([])) < 0
 
 
+def test_words_that_tell_nothing_alone_are_toxic_together(spark):
+    rnd, vocab = random.Random(4), [f"{a}{b}{c}" for a in "bdf" for b in "aei" for c in "lmnrst"]
+    rows, labels = [], []
+    for k in range(2500):
+        words = rnd.choices(vocab, k=rnd.randrange(5, 30))
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words += ["zorg"] * a + ["blick"] * b
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(a == b)))
+    out = score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    toxic = dict(labels)
+    assert len(out) > 400 and sum(r.predicted == toxic[r.doc_id] for r in out) >= 0.97 * len(out)
+    for word in ("zorg", "blick"):  # neither word tells its rows apart
+        own = [toxic[k] for k, t in rows if word in t.split()]
+        assert abs(sum(own) / len(own) - sum(toxic.values()) / len(toxic)) < 0.05
+
+
 def test_terms_of_words():
     assert len(terms("abc")) == 1 and len(terms("abcdefg")) == 2
     assert held_out("x") is not None
