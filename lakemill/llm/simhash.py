@@ -29,8 +29,9 @@ from lakemill.llm.store import materialise
 
 BITS, SEGMENTS, WIDTH = 64, 8, 8
 _CHUNK = 1 << 16
-#: Runs of one key up to this length are compared by shifted copies; longer ones by a search that emits a forest.
-_SHORT = 32
+#: Runs of one key up to this length are compared by shifted copies; longer ones by a search that emits a forest, from
+#: _LONG on within parts that agree in one more segment.
+_SHORT, _LONG = 32, 2048
 
 
 #: Wide fingerprints: 64-bit words, segments that are keys, and their bits.
@@ -86,14 +87,14 @@ def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id long, fp long): one row for each document with an id; fp holds the 64 bits as a signed long."""
+    """(doc_id long, fp long) for every document; fp holds the 64 bits as a signed long."""
 
     def run(batches):
         for batch in slices(batches):
             fps = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _key_columns():
@@ -130,24 +131,47 @@ def _linked(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join what is joined by pairs at 3 bits or fewer: at most len(fp) - 1 of them."""
+def _forest(fp: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join what is joined by pairs within the chains' budgets: at most len(fp) - 1 of them."""
     left = np.arange(len(fp))
     a, b = [], []
     while len(left):
         seed, left = left[0], left[1:]
         front = np.array([seed])
         while len(front) and len(left):
-            hit = np.zeros(len(left), bool)
-            for k in range(0, len(front), 64):
+            hit, at = np.zeros(len(left), bool), 0
+            while at < len(front):
                 rest = np.flatnonzero(~hit)
-                hit[rest[(np.bitwise_count(fp[front[k : k + 64], None] ^ fp[left[rest]][None, :]) <= 3).any(axis=0)]] = True
+                if not len(rest):
+                    break
+                some = front[at : at + max(1, (1 << 18) // len(rest))]
+                at += len(some)
+                x = (fp[some][:, None] ^ fp[left[rest]][None, :]).ravel()
+                hit[rest[np.flatnonzero(_linked(x, np.full(len(x), start))) % len(rest)]] = True
             front, left = left[hit], left[~hit]
             a.append(np.full(len(front), seed))
             b.append(front)
     return (np.concatenate(a), np.concatenate(b)) if a else (left, left)
 
 
+def _forest_of_run(fp: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within a run of the key of that number. Its four segments are equal, so a pair at 3 bits or fewer agrees in one
+    of the other four as well: a very long run is searched within the parts of each."""
+    start, skipped = divmod(number, 3)
+    if len(fp) <= _LONG:
+        return _forest(fp, start)
+    out_a, out_b = [], []
+    for k in (skipped + 2, 5, 6, 7):
+        own = (fp >> np.uint64(WIDTH * ((start + k) % SEGMENTS))) & np.uint64(255)
+        order = np.argsort(own, kind="stable")
+        edge = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1], True])
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            a, b = _forest(fp[order[s:e]], start)
+            out_a.append(order[s:e][a])
+            out_b.append(order[s:e][b])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def _links_of_runs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys (sorted)."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
@@ -155,7 +179,7 @@ def _links_of_runs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> tuple[
     out_a, out_b = [], []
     for at in np.flatnonzero(length > _SHORT):
         s, e = edge[at], edge[at + 1]
-        a, b = _forest(fps[s:e])
+        a, b = _forest_of_run(fps[s:e], int(keys[s] >> 32))
         out_a.append(ids[s:e][a])
         out_b.append(ids[s:e][b])
     short = np.repeat((length > 1) & (length <= _SHORT), length)
@@ -171,24 +195,30 @@ def _links_of_runs(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> tuple[
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
 
 
-def _links(batches):
-    """Streams rows sorted by key; the last run of a batch waits for the next batch."""
-    held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+def _whole_runs(batches, read):
+    """Streams rows sorted by key, the first of the arrays that ``read`` gives; the last run of a batch waits for the next."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        new = read(batch)
+        if not len(new[0]):
+            continue
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        if cut or (held and held[-1][0][-1] != new[0][-1]):
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)]
+            held = []
+        held.append([x[cut:] for x in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def out(parts):
-        a, b = _links_of_runs(*parts)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    for batch in batches:
+def _links(batches):
+    def read(batch):
         k, f, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-        held = [np.concatenate(x) for x in zip(held, (k, f.view(np.uint64), i), strict=True)]
-        if len(held[0]):
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield out([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-    if len(held[0]):
-        yield out(held)
+        return [k, f.view(np.uint64), i]
+
+    for run in _whole_runs(batches, read):
+        a, b = _links_of_runs(*run)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -202,19 +232,27 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every document.
+    """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link with each other; rows with a null id are left out; repeated ids
-    give repeated rows; equal fingerprints meet before any candidate search, so copies cost one row each. Extra columns of
-    ``docs`` are not read.
+    Null and empty texts have fingerprint zero and link with each other. Rows, not ids, are linked: rows that repeat an id
+    belong where their own texts do, and rows without an id are linked like any other; component_id is the smallest id of
+    any row reachable, null where none has one. Equal fingerprints meet before any candidate search, so copies cost one row
+    each. No rows in, none out; extra columns of ``docs`` are not read.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, words), "simhash")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    found = components(links(distinct))
-    named = distinct.join(found, distinct.id == found.node, "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("id"))))
+    named = _labelled(distinct.withColumn("id", F.col("fp")), found).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``nodes`` (id, least, ...) with root, the node that names the component, and component_id, its smallest document."""
+    rooted = nodes.join(found.withColumnRenamed("component_id", "root"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    rooted = materialise(rooted, "rooted")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def differing(similarity: float, margin: float = 1.0) -> int:
     """Bits of a wide fingerprint that texts of this Jaccard similarity differ in, and ``margin`` deviations more."""
     n, p = BITS * WIDE, math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -292,46 +330,62 @@ def _wide_links(most: int):
         a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def read(batch):
+        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(-1, WIDE).astype(np.uint64)
+        return [batch.column(0).to_numpy(zero_copy_only=False), fps, batch.column(2).to_numpy(zero_copy_only=False)]
+
     def run(batches):
-        held = [np.empty(0, np.int64), np.empty((0, WIDE), np.uint64), np.empty(0, np.int64)]
-        for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(-1, WIDE).astype(np.uint64)
-            new = batch.column(0).to_numpy(zero_copy_only=False), fps, batch.column(2).to_numpy(zero_copy_only=False)
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]):
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                if cut:
-                    yield of_runs(*[x[:cut] for x in held])
-                    held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield of_runs(*held)
+        for own in _whole_runs(batches, read):
+            yield of_runs(*own)
 
     return run
 
 
-def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents joined by their 64-bit fingerprints, as in ``simhash_components``, or by wide ones.
+def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, component_id, root, and the columns ``keep``) for every row: documents joined by their 64-bit fingerprints, as
+    in ``simhash_components``, or by wide ones. ``root`` names the component also where no row of it has an id.
 
     Wide fingerprints link where the sets of ``words``-word shingles have an estimated Jaccard similarity of ``similarity``
-    or more. A pair right at 0.8 shares a key with probability 0.98, a pair at 0.9 nearly always. Pairs that meet by chance
-    are N^2 / 900 checks of some words each: at N of 10^9 raise KEY_BITS. Nulls, repeats and extra columns as in
-    ``simhash_components``.
+    or more. A pair right at 0.8 shares a key with probability 0.98, a pair at 0.9 nearly always, and is then within the
+    bits of ``differing`` with probability 0.84 (a pair at 0.85 with 0.99). Pairs that meet by chance are N^2 / 900 checks
+    of some words each: at N of 10^9 raise KEY_BITS. Nulls, repeats and extra columns as in ``simhash_components``.
     """
 
     def both(batches):
         for batch in slices(batches):
             own = [_words_of(t) for t in batch.column(1).to_pylist()]
             fps = np.fromiter((_simhash(w, 3) for w in own), np.uint64, len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array([_wide(w, words) for w in own], pa.binary())], names=["doc_id", "fp", "wide"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where("doc_id is not null")
-    fps = materialise(rows.mapInArrow(both, "doc_id long, fp long, wide binary"), "simhash")
-    nodes = materialise(fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+            columns = [batch.column(0), pa.array(fps.view(np.int64)), pa.array([_wide(w, words) for w in own], pa.binary()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "wide", *batch.schema.names[2:]])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    kinds = dict(rows.dtypes)
+    fps = materialise(rows.mapInArrow(both, "doc_id long, fp long, wide binary" + "".join(f", `kept_{c}` {kinds[f'kept_{c}']}" for c in keep)), "simhash")
+    nodes = fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "simhash-nodes")
     narrow = materialise(nodes.groupBy("fp").agg(F.min("id").alias("id")), "simhash-narrow")
     wide = materialise(nodes.groupBy("wide").agg(F.min("id").alias("id")), "simhash-wide")
     keyed = wide.select("wide", "id").mapInArrow(_wide_keys, "k long, wide binary, id long").repartition("k").sortWithinPartitions("k")
     near = keyed.mapInArrow(_wide_links(differing(similarity)), "a long, b long")
     same = [nodes.alias("n").join(x.alias("x"), by).where("n.id <> x.id").select(F.col("n.id").alias("a"), F.col("x.id").alias("b")) for x, by in ((narrow, "fp"), (wide, "wide"))]
     found = components(links(narrow).union(near).union(same[0]).union(same[1]))
-    named = nodes.join(found, nodes.id == found.node, "left").select("fp", "wide", F.coalesce("component_id", "id").alias("component_id"))
-    return fps.join(named, ["fp", "wide"]).select("doc_id", "component_id")
+    named = _labelled(nodes, found).select("fp", "wide", "component_id", "root")
+    return fps.join(named, ["fp", "wide"]).select("doc_id", "component_id", "root", *[F.col(f"kept_{c}").alias(c) for c in keep])
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each group of near duplicates: that of the smallest id, rows without one coming last, and
+    among several of that id always the same (by a hash of the whole row).
+
+    Rows that repeat an id with a different text are different documents. Of equal rows one stays.
+    """
+    key = F.xxhash64(*[F.col(c) for c in docs.columns])
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("row_key"))
+    found = materialise(near_duplicate_components(keyed, similarity, words, keep=("row_key",)), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    stay = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("of"), F.col("first.row_key").alias("of_row")).hint("shuffle_hash")  # no bound: never broadcast
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own"), key.alias("own_row"))
+    kept = rows.join(stay, F.col("own").eqNullSafe(F.col("of")) & (F.col("own_row") == F.col("of_row")), "left_semi")
+    if found.groupBy("doc_id", "row_key").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["own", "own_row"])
+    return kept.select("row.*")

@@ -60,7 +60,9 @@ def test_against_brute_force(spark):
 
 def test_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, None), (1, "")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in simhash_components(docs).collect()) == [(1, 1), (2, 1), (4, 4), (4, 4)]
+    assert sorted(((r.doc_id, r.component_id) for r in simhash_components(docs).collect()), key=str) == [(1, 1), (2, 1), (4, 4), (4, 4), (None, 4)]
+    shared = spark.createDataFrame([(3, "a b c"), (5, "a b c"), (5, "x y z w"), (7, "x y z w"), (None, "q r s")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash_components(shared).collect()), key=str) == [(3, 3), (5, 3), (5, 5), (7, 5), (None, None)]
     assert simhash_components(docs.limit(0)).collect() == []
 
 
@@ -87,6 +89,37 @@ def test_long_runs_keep_every_connection(spark):
     assert {r.node: r.component_id for r in found} == slow_components(dict(enumerate(fps)))
 
 
+def test_very_long_runs_are_searched_in_parts():
+    from lakemill.llm.simhash import _forest, _forest_of_run
+
+    rnd = np.random.default_rng(3)
+    fp = np.unique((rnd.integers(0, 2**32, 2500, dtype=np.uint64) << np.uint64(32)) | np.uint64(0x01020304))
+    near = fp[:700] ^ (np.uint64(1) << np.uint64(40)) ^ (np.uint64(1) << np.uint64(61))
+    fp = np.unique(np.r_[fp, near])
+    number = 0  # start 0, segment 2 skipped: segments 0, 1, 3 and 4 are equal
+    fp = (fp & ~np.uint64(0xFF00000000)) | np.uint64(0x0500000000)
+    fp = np.unique(fp)
+    assert len(fp) > 2048
+    whole, parts = _forest(fp, 0), _forest_of_run(fp, number)
+    assert len(whole[0]) > 300
+    roots = [slow_roots(len(fp), a, b) for a, b in (whole, parts)]
+    assert roots[0] == roots[1]
+
+
+def slow_roots(n, a, b):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(None, 3), (7, 7)], "a long, b long")
     assert {r.node: r.component_id for r in components(edges).collect()} == dict.fromkeys(range(61), 0)
@@ -144,3 +177,16 @@ def test_no_documents_have_no_near_duplicates(spark):
     from lakemill.llm.simhash import near_duplicate_components
 
     assert near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    from lakemill.llm.simhash import one_of_each
+
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(9, long, "a"), (4, long, "b"), (4, long, "a"), (4, "another text of one id entirely here", "a"), (None, long, "a"), (None, "no id at all", "a"), (None, "no id at all", "a"), (7, "twice the very same row", "x"), (7, "twice the very same row", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in one_of_each(docs).collect()]
+    assert len(got) == 4 and [r for r in got if r[1] == long] in ([(4, long, "b")], [(4, long, "a")])
+    assert {r[:2] for r in got} == {(4, long), (4, rows[3][1]), (None, "no id at all"), (7, "twice the very same row")}
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in one_of_each(docs.repartition(2)).collect())
+    assert one_of_each(docs.limit(0)).collect() == []
