@@ -46,6 +46,18 @@ def test_taken_words_come_near_their_targets(spark):
     assert copies.count() == sum(r.taken // r.size for r in got if r.size)
 
 
+@pytest.mark.parametrize("shared", [1, None])
+def test_rows_that_share_an_id_come_near_their_target_too(spark, shared):
+    rows = [(shared, "one two three", "a")] * 1000 + [(k, "four words in it", "b") for k in range(2, 400)] + [(7, "x y", "b")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix(docs).collect()
+    assert len(got) == len(rows)
+    for target in {r.target for r in got}:
+        assert sum(r.taken for r in got if r.target == target) == pytest.approx(target, abs=10)
+    assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(3)).collect()))
+    assert mixed_documents(docs).count() == sum(r.taken // r.size for r in got)
+
+
 def test_small_tables(spark):
     schema = "doc_id long, text string, source string"
     assert mix(spark.createDataFrame([], schema)).collect() == []
