@@ -21,6 +21,7 @@ from lakemill.llm.tokens import encoder, public_path
 
 TOKENIZER = "word_bpe_49k.json"
 LONGEST, STRIDE, BLOCK, IDS = 20, 1024, 1 << 16, 1 << 16
+PART = 50_000  # documents of a part at most, about
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -112,7 +113,10 @@ def _tokenise(path: str, end: int, bounds: np.ndarray):
         own = encoder(path)
         tail = np.array([end], "<u2").tobytes()
         for batch in slices(batches):
-            ids = [own.ids(t).astype("<u2").tobytes() + tail for t in batch.column(1).to_pylist()]
+            found = [own.ids(t) for t in batch.column(1).to_pylist()]
+            if any(x.dtype.itemsize > 2 and x.size and x.max() >= IDS for x in found):
+                raise ValueError(f"a token id is {IDS} or more: the files keep 16 bits")
+            ids = [x.astype("<u2").tobytes() + tail for x in found]
             part = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
@@ -174,12 +178,15 @@ def _encode(lengths: np.ndarray, offsets: dict[int, int]):
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text (null: empty), appends ``end``, and writes files at ``path``: blocks/ and code/.
 
+    The ids are the tokenizers library's; see ``tokens.Encoder`` for the second route to the same ids and what holds the two
+    together. Ids must be under 65,536. An empty table gives empty files.
+
     Documents lie in ascending id order, null ids first; rows of equal id in the order of their ids' bytes. The parts are
     ranges of the id found from the id column alone, so texts are tokenised once and only ids travel.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or public_path(TOKENIZER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
     bounds = np.unique(np.array(cuts if parts > 1 else [], np.int64))
     n_parts = len(bounds) + 1
@@ -240,7 +247,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end: int = 2) -> DataFrame:
-    """Writes the ids of ``docs`` in the shared folder and returns what :func:`read_ids` finds there."""
+    """Writes the ids of ``docs`` in the shared folder and returns what :func:`read_ids` finds there: a row for each row of
+    ``docs``, null and repeated ids included, none for none. Other columns are not read."""
     path = fresh_path(docs.sparkSession, "huffman")
     write_ids(docs, path, tokenizer, end)
     return read_ids(docs.sparkSession, path)
