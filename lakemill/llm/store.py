@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new one, kept for the session."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, on one machine alone, a new one, kept for the session."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakemill-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -20,8 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_within: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_within[-1] if _within else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised meanwhile go at the end: what is to last must be written elsewhere before."""
+    path = fresh_path(spark, "scratch")
+    _within.append(path)
+    try:
+        yield
+    finally:
+        _within.pop()
+        remove(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
