@@ -22,6 +22,52 @@ def test_encoder_is_the_library(name):
         assert own.ids(t).tolist() == own.library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_token_and_every_merge_is_encoded_as_by_the_library(name):
+    import json
+
+    own = Encoder(public_path(name))
+    with open(public_path(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = own.library.decode
+    vocab = own.library.get_vocab()
+    texts = [plain([k], skip_special_tokens=False) for k in vocab.values()]
+    for m in spec["model"]["merges"]:
+        a, b = m.split(" ") if isinstance(m, str) else m
+        texts.append(plain([vocab[a], vocab[b]], skip_special_tokens=False))
+        texts.append(plain([vocab[b], vocab[a]], skip_special_tokens=False))
+    for t, found in zip(texts, own.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.ids(t).tolist() == found.ids, t
+
+
+def test_shared_texts_travel_once_and_others_never(spark, monkeypatch):
+    import lakemill.llm.token_counts as T
+
+    made = {}
+
+    def materialise(df, name, old=T.materialise):
+        made[name] = old(df, name)
+        return made[name]
+
+    monkeypatch.setattr(T, "materialise", materialise)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)] + [(k, "the same") for k in range(300)], "doc_id long, text string").repartition(3)
+    assert T.count_tokens(docs).count() == 500
+    sent = [r.text for r in made["sifted"].where("text is not null").collect()]
+    assert set(sent) == {"the same"} and len(sent) <= 3 and made["sifted"].where("text is null").count() == 200
+
+
+def test_ids_beyond_sixteen_bits_are_refused(spark, tmp_path):
+    import json
+
+    path = tmp_path / "wide.json"
+    vocab = {f"w{k}": k for k in range(5)} | {"big": 70_000, "[UNK]": 9}
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "[UNK]"}}))
+    docs = spark.createDataFrame([(1, "w1 big")], "doc_id long, text string")
+    with pytest.raises(Exception, match="16 bits"):
+        round_trip(docs, tokenizer=str(path)).collect()
+    assert count_tokens(docs, tokenizer=str(path)).first().n_tokens == 2
+
+
 def test_counts_use_and_extend_the_cache(spark):
     rows = [(k, t, 7) for k, t in enumerate([*ODD, None, "copy"] + ["copy"] * 30)] + [(None, "copy", 0), (3, "other", 0), (3, "other", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
