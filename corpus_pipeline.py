@@ -5,48 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakemill.llm.mixing import mixed_documents
 from lakemill.llm.packing import pack
 from lakemill.llm.pii import redact
-from lakemill.llm.simhash import near_duplicate_components
-from lakemill.llm.store import materialise
+from lakemill.llm.simhash import one_of_each
+from lakemill.llm.store import fresh_path, remove, scratch
 from lakemill.llm.toxicity import score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine, trained on the labels of these documents, calls toxic go."""
+    """Documents that the factorization machine, trained on the labels of these documents, calls toxic go.
+
+    Null texts are empty and stay; rows with a null or repeated id are judged by their own texts. No rows in, none out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, labels, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays; rows
-    that share an id are one document.
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays: that of the smallest id.
 
-    Rows without an id can't be told apart by it and stay.
+    Texts without words are one group. Rows without an id come last, and of several rows of the smallest id the same one
+    stays in every run; an id that repeats with another text is another document. No rows in, none out.
     """
-    found = materialise(near_duplicate_components(docs), "components")
-    stay = found.where("doc_id = component_id").select("doc_id").distinct().hint("shuffle_hash")  # no bound: never broadcast
-    kept = docs.join(stay, "doc_id", "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kinds in brackets; every document stays."""
+    """Spans of personal data give way to their kinds in brackets; every row stays, null texts, null and repeated ids too.
+
+    ``n_chars`` follows the text. No rows in, none out.
+    """
     return redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words are never taken.
+
+    A null source is the last of the sources; rows with a null or repeated id are rows of their own. No rows in, none out.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1,024 tokens."""
+    """Pieces of the documents in sequences of 1,024 tokens.
+
+    Null texts are one token, the end; rows that repeat, as copies do, are packed each. No rows in, none out.
+    """
     return pack(docs)
 
 
@@ -63,7 +69,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of the documents in ``sf_dir``. Stages and their scratch tables go when the next stage is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.schema(made.schema).parquet(path), path
     return docs
