@@ -15,16 +15,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.batches import slices
 
 #: The bound of the training: so many labelled rows (those of the smallest hashes). FACTORS: length of a term's vector.
-MAX_LABELS, FACTORS = 20_000, 4
+MAX_LABELS, FACTORS = 12_000, 4
 #: A score test's deviations, and the fewest rows that must hold a term for its normal law to be taken.
 _SURE, _SUPPORT = 4.0, 3
-_WORD, _PREFIX, _KEPT, _ENTRIES = re.compile(r"[^\W\d_]+"), 5, 250_000, 1 << 20
+_WORD, _PREFIX, _KEPT, _ENTRIES = re.compile(r"[^\W\d_]+"), 5, 250_000, 1 << 18
 
 
 def _hash(term: str) -> int:
@@ -61,13 +62,20 @@ def _features(batches):
 
 
 class Rows:
-    """Rows of terms side by side: which row and which term each entry is."""
-
-    def __init__(self, rows: list[np.ndarray]):
-        size = np.array([len(r) for r in rows], np.int64)
-        self.n, self.doc, self.hashes = len(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size), np.concatenate([*rows, np.zeros(0, np.uint32)])
-        self.known, at = np.unique(self.hashes, return_inverse=True)
-        self.term = at.astype(np.int32)
+    """Rows of terms side by side: which row and which term each entry is. Terms in fewer than _SUPPORT rows are left out."""
+
+    def __init__(self, size: np.ndarray, hashes: np.ndarray):
+        self.n, known = len(size), np.sort(hashes)
+        first = np.flatnonzero(np.r_[True, known[1:] != known[:-1]]) if len(known) else np.zeros(0, np.int64)
+        self.known = known[first][np.diff(np.r_[first, len(known)]) >= _SUPPORT]
+        del known
+        doc, term = np.repeat(np.arange(self.n, dtype=np.int32), size), np.zeros(len(hashes), np.int32)
+        kept = np.zeros(len(hashes), bool)
+        for k in range(0, len(hashes) if len(self.known) else 0, _ENTRIES):
+            own = hashes[k : k + _ENTRIES]
+            at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            term[k : k + _ENTRIES], kept[k : k + _ENTRIES] = at, self.known[at] == own
+        self.doc, self.term = doc[kept], term[kept]
 
     def _parts(self):
         return (slice(k, k + _ENTRIES) for k in range(0, len(self.doc), _ENTRIES))
@@ -147,9 +155,12 @@ class Machine:
         return float(self.bias + self.weights[at].sum() + 0.5 * ((own.sum(0) ** 2).sum() - (own**2).sum()))
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS) -> Machine:
-    """A machine over the terms that count alone, then with those that count in company as well."""
-    every = Rows(rows)
+def learn(size: np.ndarray, hashes: np.ndarray, labels: np.ndarray, factors: int = FACTORS) -> Machine:
+    """A machine over the terms that count alone, then with those that count in company as well.
+
+    Row k has ``size[k]`` of the ``hashes``, which lie row by row.
+    """
+    every = Rows(size, hashes)
     vectors = np.zeros((len(every.known), factors))
     inside = np.zeros(len(every.known), bool)
     inside[alone(every, labels, np.full(every.n, labels.mean()))] = True
@@ -194,12 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_c
     own = own.orderBy(F.xxhash64("of"), "of").limit(max_labels)
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(own), texts.own == own.of).select("text", F.col("of").cast("string").alias("of"), "label")
-    found = sorted((r["of"], bytes(r["terms"]), r["label"]) for r in rows.mapInArrow(_features, "of string, terms binary, label int").collect())
-    n, pos = len(found), sum(label for *_, label in found)
+    found = rows.mapInArrow(_features, "of string, terms binary, label int").toArrow().sort_by([("of", "ascending"), ("terms", "ascending")])
+    size, labels_ = pc.binary_length(found["terms"]).to_numpy() // 4, found["label"].to_numpy().astype(float)
+    hashes = np.frombuffer(b"".join(x.as_py() for x in found["terms"]), np.uint32)
+    n, pos = len(found), int(labels_.sum())
+    del found
     if not 0 < pos < n:
         share = min(max(pos / n if n else 0.0, 1e-9), 1 - 1e-9)
         return _score(Machine({}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS))))
-    return _score(learn([np.frombuffer(own, np.uint32) for _, own, _ in found], np.array([label for *_, label in found], float)))
+    return _score(learn(size, hashes, labels_))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
