@@ -46,7 +46,35 @@ def path_text(doc: Column, where: str | None) -> Column:
     return _at(doc, where, "string")
 
 
-def has_key(doc: Column, key: str) -> Column:
+def _member(doc: Column, path: Column, text: bool) -> Column:
+    """A path known only to each row; the variant functions take one from a column."""
+    found = F.try_variant_get(F.parse_json(doc), path, "string" if text else "variant")
+    return found if text else F.nullif(F.to_json(found), F.lit("null"))
+
+
+def _quoted(key: Column) -> Column:
+    return F.concat(F.lit('["'), F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"]'))
+
+
+def get_dynamic(doc: Column, key: Column, whole: bool, text: bool = False) -> Column:
+    """``get`` with a key for each row: an array position where ``whole``, else a member's name."""
+    where = F.concat(F.lit("$["), key.cast("string"), F.lit("]")) if whole else F.concat(F.lit("$"), _quoted(key.cast("string")))
+    return _member(doc, where, text)
+
+
+def path_dynamic(doc: Column, where: Column, text: bool = False) -> Column:
+    """``path`` with a '{a,b,0}' for each row."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.trim(where), r"^[{]+|[}]+$", ""), ","), F.trim), lambda p: p != "")
+    steps = F.transform(parts, lambda p: F.when(F.regexp_like(p, F.lit("^[0-9]+$")), F.concat(F.lit("["), p, F.lit("]"))).otherwise(_quoted(p)))
+    return _member(doc, F.when(F.size(parts) > 0, F.concat(F.lit("$"), F.array_join(steps, ""))), text)
+
+
+def within(doc: str, needle: str) -> bool:
+    """Literal @> literal."""
+    return _within(json.loads(doc), json.loads(needle))
+
+
+def has_key(doc: Column, key: str | Column) -> Column:
     """An object's top-level member, or a string element of an array; false for scalars."""
     items = F.try_variant_get(F.parse_json(doc), "$", "array<variant>")
     inside = F.exists(items, lambda x: (F.schema_of_variant(x) == "STRING") & (x.try_cast("string") == key))

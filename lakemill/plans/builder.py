@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lakemill.functions import json as J
 from lakemill.operators import relops as R
 from lakemill.plans.dialect import ParseError, Select
+from lakemill.plans.errors import ShapeError
 
 _BINARY = {"=": operator.eq, "<>": operator.ne, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "and": operator.and_, "or": operator.or_, "+": operator.add, "-": operator.sub, "*": operator.mul}
 _AGGREGATE: dict[str, Callable[[Column], Column]] = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -47,6 +48,14 @@ def column(e, df: DataFrame | None = None) -> Column:
     if op == "case":
         out = reduce(lambda c, arm: c.when(column(arm[0], df), column(arm[1], df)), e[1], F)
         return out if e[2] is None else out.otherwise(column(e[2], df))
+    if op in ("->", "->>", "#>", "#>>", "?") and e[2][0] != "lit":
+        other = column(e[2], df)
+        if op == "?":
+            return J.has_key(column(e[1], df), other.cast("string"))
+        if op in ("->", "->>"):
+            whole = df is not None and isinstance(df.select(other.alias("k")).schema[0].dataType, T.IntegralType)
+            return J.get_dynamic(column(e[1], df), other, whole, text=op == "->>")
+        return J.path_dynamic(column(e[1], df), other, text=op == "#>>")
     if op in ("->", "->>"):
         return (J.get if op == "->" else J.get_text)(column(e[1], df), _literal(e[2]))
     if op in ("#>", "#>>"):
@@ -55,6 +64,8 @@ def column(e, df: DataFrame | None = None) -> Column:
         return J.has_key(column(e[1], df), str(_literal(e[2])))
     if op in ("@>", "<@"):
         doc, needle = (e[1], e[2]) if op == "@>" else (e[2], e[1])
+        if doc[0] == needle[0] == "lit":
+            return F.lit(J.within(doc[1], needle[1]))
         return J.contains(column(doc, df), needle[1]) if needle[0] == "lit" else J.contains_dynamic(column(doc, df), column(needle, df))
     a, b = column(e[1], df), column(e[2], df)
     if op == "/":
@@ -90,6 +101,15 @@ def _aggregates(e, found: list) -> None:
             _aggregates(x, found)
 
 
+def _ungrouped(e, keys: set[str]) -> str | None:
+    """The first column that is neither under a group key nor under an aggregate."""
+    if not isinstance(e, tuple | list) or repr(e) in keys or (isinstance(e, tuple) and e[:1] in (("agg",), ("lit",))):
+        return None
+    if isinstance(e, tuple) and e[:1] == ("col",):
+        return None if any(k == repr(("col", e[1].split(".")[-1])) or k.endswith(f".{e[1]}')") for k in keys) else e[1]
+    return next((x for x in map(lambda y: _ungrouped(y, keys), e) if x), None)
+
+
 def _named(e, alias: str | None, k: int) -> str:
     if alias:
         return alias
@@ -111,7 +131,8 @@ def source(s: Select, table: Callable[[str], DataFrame]) -> DataFrame:
             owner = lambda c: next(a for a, cols in left if c in cols)
             df = R.join(df, other, reduce(operator.and_, [F.col(f"{owner(c)}.{c}") == F.col(f"{alias}.{c}") for c in using]), kind)
         else:
-            df = R.join(df, other, None if on is None else column(on), kind)
+            types = df.crossJoin(other) if on is not None else None  # never run: its schema settles what / means
+            df = R.join(df, other, None if on is None else column(on, types), kind)
         left.append((alias, other.columns))
     return df
 
@@ -129,6 +150,9 @@ def block(s: Select, table: Callable[[str], DataFrame]) -> DataFrame:
     if s.group or s.having is not None or items is not None and any(_has_aggregate(e) for e, _ in items):
         if items is None:
             raise ParseError("* can't be grouped")
+        for e, n in named:
+            if loose := _ungrouped(e, {repr(g) for g in s.group}):
+                raise ShapeError(f"{loose} in {n} is neither in GROUP BY nor in an aggregate")
         found: list = []
         _aggregates([e for e, _ in named] + [s.having] + [e for e, _ in order], found)
         of = {repr(g): f"__g{k}" for k, g in enumerate(s.group)} | {repr(a): f"__a{k}" for k, a in enumerate(found)}

@@ -6,6 +6,8 @@ the constraints as set queries, and only then publishes it; readers keep the sna
 
 from __future__ import annotations
 
+import re
+import threading
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -16,7 +18,7 @@ from pyspark.sql.window import Window
 
 from lakemill.plans import builder
 from lakemill.plans.dialect import Select, Statement, parse
-from lakemill.plans.errors import CheckViolation, EngineError, ForeignKeyViolation, NameError_, NotNullViolation, ShapeError, TransactionAborted, UniqueViolation
+from lakemill.plans.errors import CheckViolation, EngineError, ForeignKeyViolation, NameError_, NotNullViolation, ShapeError, TransactionAborted, UniqueViolation, mapped
 
 TYPES = {"int": "int", "integer": "int", "bigint": "bigint", "int64": "bigint", "float": "double", "real": "double", "double": "double", "varchar": "string", "string": "string", "text": "string", "json": "string", "boolean": "boolean", "bool": "boolean", "date": "date", "time": "bigint", "timestamp": "timestamp_ntz"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,6 +50,30 @@ class Result:
     notice: str = ""
 
 
+#: Helper columns have names that no identifier can have.
+_ORDER = "order of rows"
+
+
+def _given(column: str) -> str:
+    return f"given {column}"
+
+
+def micros_of(text: str) -> int:
+    """Microseconds since midnight of 'HH:MM[:SS[.ffffff]]'."""
+    m = re.fullmatch(r"([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.(\d{1,6}))?)?", text.strip())
+    if not m:
+        raise ShapeError(f"{text!r} is no time of day")
+    h, minute, second, part = m.groups()
+    return ((int(h) * 60 + int(minute)) * 60 + int(second or 0)) * 1_000_000 + int((part or "").ljust(6, "0"))
+
+
+def _names_in(e) -> set[str]:
+    """The columns that an expression names."""
+    if isinstance(e, tuple) and e[:1] == ("col",):
+        return {e[1].split(".")[-1]}
+    return set().union(*map(_names_in, e)) if isinstance(e, tuple | list) else set()
+
+
 def _same(a: str, b: str, keys: list[str], others: list[str]):
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{o}") for k, o in zip(keys, others, strict=True)])
 
@@ -67,6 +93,8 @@ class Database:
         db.folder, db.files = folder, set(names or TABLES)
         return db
 
+    #: One statement at a time changes a database; readers keep their snapshots.
+    lock: threading.RLock = field(default_factory=threading.RLock, repr=False, compare=False)
     folder: str = ""
     files: set[str] = field(default_factory=set)
 
@@ -81,8 +109,9 @@ class Database:
     def execute(self, text: str) -> Result:
         """Runs a script; the last statement's result. The first failure stops it and leaves its statement undone."""
         out = Result("noop")
-        for s in parse(text):
-            out = self._one(s)
+        with self.lock:
+            for s in parse(text):
+                out = self._one(s)
         return out
 
     def _one(self, s) -> Result:
@@ -100,10 +129,12 @@ class Database:
                     return Result("noop")
                 self.table(s.table)
             return getattr(self, f"_{kind}")(s.table, **s.args)
-        except Exception:
+        except Exception as e:
             self.tables = before
             if self.state == "explicit":
                 self.state = "aborted"
+            if (known := mapped(e)) is not None:
+                raise known from e
             raise
 
     def _control(self, s: Statement) -> Result:
@@ -137,30 +168,39 @@ class Database:
 
     # Guards: each is a set query that needs one row to fail.
 
-    def _publish(self, name: str, table: Table, check: bool = True) -> None:
+    def _publish(self, name: str, table: Table, check: bool = True, new: DataFrame | None = None) -> None:
+        """``new``: the only rows that the last snapshot did not hold, where a statement knows them."""
         if check:
-            self._guard(name, table)
+            self._guard(name, table, new)
         changes = table.changes + 1
         if changes % CUT_AFTER == 0 and not self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             table = replace(table, df=table.df.checkpoint())
         self.tables[name] = replace(table, changes=changes)
 
-    def _guard(self, name: str, table: Table) -> None:
+    def _guard(self, name: str, table: Table, new: DataFrame | None = None) -> None:
+        """Row checks and foreign keys see the new rows alone; uniqueness compares them with each other and, by a semi join,
+        with the stored keys. A CHECK that is NOT VALID binds new rows only."""
+        rows = table.df if new is None else new
         for c in table.columns:
-            if not c["nullable"] and table.df.where(F.col(c["name"]).isNull()).limit(1).count():
+            if not c["nullable"] and rows.where(F.col(c["name"]).isNull()).limit(1).count():
                 raise NotNullViolation(f"{name}.{c['name']} is null")
         for c in table.constraints:
-            if c["kind"] == "check" and c.get("valid", True):
-                self._guard_check(name, table.df, c)
+            if c["kind"] == "check" and (new is not None or c.get("valid", True)):
+                self._guard_check(name, rows, c)
             elif c["kind"] in ("unique", "primary"):
                 keys = c["columns"]
-                if c["kind"] == "primary" and table.df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).limit(1).count():
+                if c["kind"] == "primary" and rows.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).limit(1).count():
                     raise NotNullViolation(f"{name}: null in primary key {keys}")
-                if table.df.dropna(subset=keys).groupBy(*keys).count().where("count > 1").limit(1).count():
+                own = rows.dropna(subset=keys)
+                repeats = own.groupBy(*keys).count().where("count > 1")
+                if new is not None and name in self.tables:
+                    stored = self.tables[name].df.select(*keys)
+                    repeats = repeats.select(*keys).union(stored.alias("c").join(own.select(*keys).alias("p"), _same("c", "p", keys, keys), "left_semi"))
+                if repeats.limit(1).count():
                     raise UniqueViolation(f"{name}: {c['name'] or keys} repeats")
             elif c["kind"] == "foreign":
                 parent = (table if c["parent"] == name else self.table(c["parent"])).df
-                child = table.df.dropna(subset=c["columns"])
+                child = rows.dropna(subset=c["columns"])
                 if child.alias("c").join(parent.alias("p"), _same("c", "p", c["columns"], c["keys"]), "left_anti").limit(1).count():
                     raise ForeignKeyViolation(f"{name}: {c['name'] or c['columns']} has no row in {c['parent']}")
 
@@ -174,7 +214,9 @@ class Database:
     # Rows.
 
     def _cast(self, e, col: dict, df: DataFrame | None = None):
-        value = builder.column(e, df)
+        value = builder.column(e, self.spark.range(0) if df is None else df)
+        if col["type"] == "time" and e[0] == "lit" and isinstance(e[1], str):
+            return F.lit(micros_of(e[1]))
         if e[0] == "lit" and isinstance(e[1], str) and TYPES.get(col["type"], col["type"]) in ("int", "bigint", "double", "boolean"):
             raise ShapeError(f"{col['name']}: text where a {col['type']} is needed")
         value = value.cast(TYPES.get(col["type"], col["type"]))
@@ -195,29 +237,32 @@ class Database:
             new = builder.select(select, lambda n: self.table(n).df)
             if len(new.columns) != len(given):
                 raise ShapeError(f"{len(new.columns)} values for {len(given)} columns")
-            new = new.toDF(*[f"__{c}" for c in given])
+            new = new.toDF(*[_given(c) for c in given])
         else:
             own = [c for n in given for c in table.columns if c["name"] == n]
             for r in rows or []:
                 if len(r) != len(given):
                     raise ShapeError(f"{len(r)} values for {len(given)} columns")
-            frames = [one.select(F.lit(k).alias("__k"), *[self._cast(e, c).alias(f"__{c['name']}") for e, c in zip(r, own, strict=True)]) for k, r in enumerate(rows or [[]])]
-            new = reduce(DataFrame.unionAll, frames)
+            kinds = {c["name"]: table.df.schema[c["name"]].dataType for c in own}
+            arrays = [F.struct(F.lit(k).alias(_ORDER), *[self._cast(e, c).cast(kinds[c["name"]]).alias(_given(c["name"])) for e, c in zip(r, own, strict=True)]) for k, r in enumerate(rows or [[]])]
+            new = one.select(F.explode(F.array(*arrays)).alias("r")).select("r.*")
         number = None
         if auto:
-            order = "__k" if "__k" in new.columns else F.xxhash64(*[F.col(f"__{c}") for c in given])
+            order = _ORDER if _ORDER in new.columns else F.xxhash64(*[F.col(_given(c)) for c in given])
             number = F.row_number().over(Window.orderBy(order)) + F.lit(table.next_id - 1)
         items = []
         for c in table.columns:
             kind = table.df.schema[c["name"]].dataType
-            value = number if c["auto"] else F.col(f"__{c['name']}") if c["name"] in given else F.lit(None) if c["default"] is None else self._cast(c["default"], c)
+            value = number if c["auto"] else F.col(_given(c["name"])) if c["name"] in given else F.lit(None) if c["default"] is None else self._cast(c["default"], c)
             items.append(value.cast(kind).alias(c["name"]))
         new = new.select(*items)
+        if select is None:
+            new.collect()  # the statement's own values: what can't be computed fails here, not in a later reader
         for c in table.columns:
             if c["type"] == "json" and new.where(F.col(c["name"]).isNotNull() & F.try_parse_json(c["name"]).isNull()).limit(1).count():
                 raise ShapeError(f"{name}.{c['name']}: malformed JSON")
         n = new.count() if select is not None else len(rows or [[]])
-        self._publish(name, replace(table, df=table.df.unionByName(new), next_id=table.next_id + n))
+        self._publish(name, replace(table, df=table.df.unionByName(new), next_id=table.next_id + n), new=new)
         return Result("inserted", count=n)
 
     def _predicate(self, table: Table, alias: str, where):
@@ -250,6 +295,10 @@ class Database:
                 continue
             moved = {c: F.when(F.col(f"g.old_{k}").isNotNull(), F.col(f"g.new_{k}") if fk["update"] == "cascade" else F.lit(None)).otherwise(F.col(f"c.{c}")) for c, k in zip(fk["columns"], fk["keys"], strict=True)}
             self._publish(child, replace(t, df=met.select(*[moved.get(c, F.col(f"c.{c}")).alias(c) for c in t.names()])))
+        changed = after.alias(alias or name) if where is None else pairs.select(*[F.col(f"new_{c}").alias(c) for c in table.names()])
+        for c in table.of_kind("check"):
+            if not c.get("valid", True):
+                self._guard_check(name, changed, c)
         self._guard(name, self.tables[name])
         return Result("updated", count=count)
 
@@ -348,7 +397,7 @@ class Database:
         table = self._column_of(name, column)
         if any(column in c.get("columns", ()) for c in table.of_kind("primary")) or any(column in fk["keys"] for _, _, fk in self._children(name)):
             raise ShapeError(f"{column} is a key")
-        kept = tuple(c for c in table.constraints if column not in c.get("columns", ()))
+        kept = tuple(c for c in table.constraints if column not in c.get("columns", ()) and not (c["kind"] == "check" and column in _names_in(c["expr"])))
         self._publish(name, replace(table, df=table.df.drop(column), columns=tuple(c for c in table.columns if c["name"] != column), constraints=kept))
         return Result("column dropped")
 
@@ -462,3 +511,16 @@ class Database:
         keys = {k for c in t.of_kind("primary") for k in c["columns"]}
         rows = [(c["name"], c["type"], c["nullable"] and c["name"] not in keys, c["name"] in keys, c["auto"]) for c in t.columns]
         return self.spark.createDataFrame(rows, "column_name string, type string, nullable boolean, primary_key boolean, auto_increment boolean")
+
+    def constraints(self) -> DataFrame:
+        """(table_name, constraint_name, kind, columns, parent, parent_columns, on_delete, on_update, valid) of every table."""
+        rows = [
+            (n, c["name"], c["kind"], ",".join(c.get("columns", ())) or ",".join(sorted(_names_in(c.get("expr")))), c.get("parent"), ",".join(c.get("keys", ())) or None, c.get("delete"), c.get("update"), c.get("valid", True))
+            for n, t in sorted(self.tables.items()) for c in t.constraints
+        ]
+        return self.spark.createDataFrame(rows, "table_name string, constraint_name string, kind string, columns string, parent string, parent_columns string, on_delete string, on_update string, valid boolean")
+
+    def defaults(self) -> DataFrame:
+        """(table_name, column_name, default): columns with a default, which is shown as parsed."""
+        rows = [(n, c["name"], repr(c["default"][1] if c["default"][0] == "lit" else c["default"])) for n, t in sorted(self.tables.items()) for c in t.columns if c["default"] is not None]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, default string")

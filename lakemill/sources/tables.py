@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,29 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def save_database(db: Database, folder: str, names: list[str] | None = None) -> None:
-    """Writes the current snapshot of each named table (all: those that statements have touched) under a folder."""
+    """Writes the current snapshot of each named table (all: those that statements have touched) under a folder.
+
+    A snapshot may still read the very files that it replaces: every table is written beside its place first and moved there
+    only when all are complete. The database then reads what was saved; snapshots that read replaced files end with them.
+    """
+    spark = db.spark
+    Path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    moves = []
     for name in names or sorted(db.tables):
-        write_table(db.table(name).df, f"{folder}/{name}.parquet", mode="overwrite")
+        fresh = f"{folder}/.{name}.parquet-{uuid.uuid4().hex}"
+        write_table(db.table(name).df, fresh)
+        moves.append((name, Path_(fresh), Path_(f"{folder}/{name}.parquet")))
+    for name, fresh, place in moves:
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old = Path_(f"{folder}/.{name}.parquet-{uuid.uuid4().hex}")
+        if store.exists(place) and not store.rename(place, old):
+            raise OSError(f"{place} could not be moved away")
+        if not store.rename(fresh, place):
+            store.rename(old, place)
+            raise OSError(f"{fresh} could not be moved to {place}")
+        store.delete(old, True)
+        spark.catalog.refreshByPath(str(place.toString()))
+        db.tables[name] = replace(db.tables[name], df=spark.read.schema(db.tables[name].df.schema).parquet(place.toString()))
 
 
 def statements(script: str) -> list[str]:

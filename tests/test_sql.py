@@ -191,3 +191,82 @@ def test_operators_on_null_rows(spark):
     assert [tuple(r) for r in R.except_(a, b, True).collect()] == [(2, 3)]
     assert R.union(a, b).count() == 2 and R.union(a, b, True).count() == 4
     assert R.aggregate(a, ["b"], n=F.count(F.lit(1))).count() == 2
+
+
+def test_saving_over_its_own_folder_keeps_every_row(spark, tmp_path):
+    from lakemill.sources.tables import save_database
+
+    spark.range(5).selectExpr("id as r_regionkey", "cast(id as string) as r_name").write.parquet(str(tmp_path / "region.parquet"))
+    db = Database.over_parquet(spark, str(tmp_path), ["region"])
+    db.execute("delete from region where r_regionkey = 2; insert into region values (9, 'new')")
+    save_database(db, str(tmp_path))
+    save_database(db, str(tmp_path))
+    again = Database.over_parquet(spark, str(tmp_path), ["region"])
+    for own in (db, again):
+        assert rows(own, "select r_regionkey from region order by r_regionkey") == [(0,), (1,), (3,), (4,), (9,)]
+    assert [p.name for p in tmp_path.iterdir()] == ["region.parquet"]
+
+
+def test_checks_that_are_not_valid_bind_new_rows(db):
+    db.execute("create table t (id int, n int); insert into t values (1, 1), (50, 2); alter table t add constraint small check (id < 10) not valid")
+    for bad in ("insert into t values (60, 3)", "update t set id = 70 where n = 1"):
+        with pytest.raises(CheckViolation):
+            db.execute(bad)
+    assert db.execute("insert into t values (2, 3)").count == 1 and rows(db, "select count(*) as n from t") == [(3,)]
+
+
+def test_division_in_joins_values_and_defaults(db):
+    db.execute("create table p (x float, k int default 7 / 2); create table q (y float, j int); insert into p (x) values (1.0 / 4.0), (3.0); insert into q values (1.5, 3), (9.0, 4)")
+    assert rows(db, "select x, k from p order by x") == [(0.25, 3), (3.0, 3)]
+    assert rows(db, "select p.x as x from p join q on p.x / 2.0 = q.y") == [(3.0,)]
+    assert rows(db, "select q.j as j from p join q on p.k / 2 = q.j / 3 and x > 1.0 order by j") == [(3,), (4,)]
+
+
+def test_any_column_name_takes_values(db):
+    db.execute("create table t (k int, r string); insert into t values (1, 'a'), (2, 'b')")
+    assert rows(db, "select k, r from t order by k") == [(1, "a"), (2, "b")]
+
+
+def test_dropping_a_column_drops_its_checks(db):
+    db.execute("create table t (id int, age int, constraint grown check (age > 17 and id > 0)); alter table t drop column age; insert into t values (1)")
+    assert rows(db, "select id from t") == [(1,)] and db.constraints().count() == 0
+
+
+def test_times_of_day(db):
+    db.execute("create table t (id int, at time); insert into t values (1, '10:30:00'), (2, '00:00:01.5'), (3, null)")
+    assert rows(db, "select id, at from t order by id") == [(1, 37_800_000_000), (2, 1_500_000), (3, None)]
+    with pytest.raises(ShapeError):
+        db.execute("insert into t values (4, '25:00')")
+
+
+def test_json_keys_and_paths_from_columns(db):
+    db.execute("create table t (id int, j json, k string, p string, n int); insert into t values (1, '{\"a\": {\"b\": [1, \"x\"]}}', 'a', '{a,b,1}', 0), (2, '[5, 6]', 'a', '{1}', 1), (3, null, 'a', '{}', 0)")
+    assert rows(db, "select j -> k as v, j ->> k as w from t order by id") == [('{"b":[1,"x"]}', '{"b":[1,"x"]}'), (None, None), (None, None)]
+    assert rows(db, "select j -> n as v, j #> p as w, j #>> p as x, j ? k as y from t order by id") == [(None, '"x"', "x", True), ("6", "6", "6", False), (None, None, None, None)]
+
+
+def test_errors_of_names_shapes_and_arithmetic(db):
+    from lakemill.plans.errors import ArithmeticFault
+
+    db.execute("create table t (id int, g int); create table u (id int); insert into t values (1, 0)")
+    for bad, kind, says in (("select nothing from t", NameError_, "nothing"), ("select id from t join u on t.id = u.id", NameError_, "id"), ("select id, count(*) as n from t group by g", ShapeError, "GROUP BY"), ("insert into t values (1 / 0, 2)", ArithmeticFault, "zero")):
+        with pytest.raises(kind, match=says):
+            db.execute(bad)
+    assert rows(db, "select t.g as g, count(*) as n from t group by g") == [(0, 1)]
+    assert rows(db, "select g, count(*) + 1 as n, 5 as five from t group by t.g") == [(0, 2, 5)]
+
+
+def test_the_catalog_lists_constraints_and_defaults(db):
+    db.execute("create table p (id int primary key, n int default 4); create table c (id int, pid int references p (id) on delete cascade, constraint small check (id < 10))")
+    got = {(r.table_name, r.kind, r.columns, r.parent, r.on_delete) for r in db.constraints().collect()}
+    assert got == {("p", "primary", "id", None, None), ("c", "foreign", "pid", "p", "cascade"), ("c", "check", "id", None, None)}
+    assert [tuple(r) for r in db.defaults().collect()] == [("p", "n", "4")]
+
+
+def test_one_writer_at_a_time(db):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db.execute("create table t (id int not null auto_increment, v int)")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: db.execute(f"insert into t (v) values ({k})"), range(8)))
+    assert rows(db, "select count(*) as n, min(id) as lo, max(id) as hi from t") == [(8, 1, 8)]
