@@ -101,13 +101,24 @@ def _aggregates(e, found: list) -> None:
             _aggregates(x, found)
 
 
-def _ungrouped(e, keys: set[str]) -> str | None:
+def _as_grouped(e, keys: list):
+    """``e`` with columns spelled as the group keys spell them: with a table's name or without."""
+    if isinstance(e, tuple) and (e in keys or e[:1] in (("agg",), ("lit",))):
+        return e
+    if isinstance(e, tuple) and e[:1] == ("col",):
+        own = e[1].split(".")
+        same = [k for k in keys if k[0] == "col" and k[1].split(".")[-1] == own[-1] and (len(own) == 1) != ("." not in k[1])]
+        return same[0] if len(same) == 1 else e
+    return type(e)(_as_grouped(x, keys) for x in e) if isinstance(e, tuple | list) else e
+
+
+def _ungrouped(e, keys: list) -> str | None:
     """The first column that is neither under a group key nor under an aggregate."""
-    if not isinstance(e, tuple | list) or repr(e) in keys or (isinstance(e, tuple) and e[:1] in (("agg",), ("lit",))):
+    if not isinstance(e, tuple | list) or e in keys or (isinstance(e, tuple) and e[:1] in (("agg",), ("lit",))):
         return None
     if isinstance(e, tuple) and e[:1] == ("col",):
-        return None if any(k == repr(("col", e[1].split(".")[-1])) or k.endswith(f".{e[1]}')") for k in keys) else e[1]
-    return next((x for x in map(lambda y: _ungrouped(y, keys), e) if x), None)
+        return e[1]
+    return next((x for x in (_ungrouped(y, keys) for y in e) if x), None)
 
 
 def _named(e, alias: str | None, k: int) -> str:
@@ -151,17 +162,19 @@ def block(s: Select, table: Callable[[str], DataFrame]) -> DataFrame:
         if items is None:
             raise ParseError("* can't be grouped")
         for e, n in named:
-            if loose := _ungrouped(e, {repr(g) for g in s.group}):
+            if loose := _ungrouped(_as_grouped(e, s.group), s.group):
                 raise ShapeError(f"{loose} in {n} is neither in GROUP BY nor in an aggregate")
+        named, order = [(_as_grouped(e, s.group), n) for e, n in named], [(_as_grouped(e, s.group), down) for e, down in order]
+        having = _as_grouped(s.having, s.group)
         found: list = []
-        _aggregates([e for e, _ in named] + [s.having] + [e for e, _ in order], found)
+        _aggregates([e for e, _ in named] + [having] + [e for e, _ in order], found)
         of = {repr(g): f"__g{k}" for k, g in enumerate(s.group)} | {repr(a): f"__a{k}" for k, a in enumerate(found)}
         aggs = [column(a, df).alias(of[repr(a)]) for a in found]
         keys = [column(g, df).alias(of[repr(g)]) for g in s.group]
         df = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
         named, order = [(_renamed(e, of), n) for e, n in named], [(_renamed(e, of), down) for e, down in order]
         if s.having is not None:
-            df = df.where(column(_renamed(s.having, of), df))
+            df = df.where(column(_renamed(having, of), df))
     keys = [column(e, df).desc_nulls_last() if down else column(e, df).asc_nulls_first() for e, down in order]
     if items is None:
         out = df.orderBy(*keys) if keys else df
