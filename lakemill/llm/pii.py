@@ -2,7 +2,8 @@
 
 Patterns propose spans. Labelers vote on each (for, against or not at all): the strict shape, its checks (Luhn, octets,
 number of digits), a gazetteer of words before it, and its immediate context. Expectation-maximisation over the counted vote
-patterns estimates how reliable each labeler is; the posteriors then train a logistic span classifier, which is a Column.
+patterns estimates how reliable each labeler is; the posteriors then train a logistic span classifier, which is a Column. It
+sees what no labeler votes on as well: a span's length, its classes of characters and the word before it, kind by kind.
 Spans of the base shapes always stay; the classifier decides which of the others join them.
 
 Positions need no user code: the text split by a pattern gives the gaps between matches, and sums of lengths the offsets.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ SHAPES = (
 )
 _GAZETTEER = {"email": "mail|contact|write|reach", "ip": "ip|host|server|address|from", "card": "card|visa|credit|pay|account", "phone": "tel|phone|call|fax|mobile|cell|contact", "secret": "token|password|passwd|secret|key", "id": "ssn|social|security|id|passport"}
 LABELERS = ("shape", "checks", "gazetteer", "context")
+#: What the classifier sees of a span beside the votes: length by powers of two, classes of characters as bits (digit, upper,
+#: lower, other), and the word before it, hashed.
+FEATURES = ("length", "classes", "before")
+_LENGTHS, _WORDS = (2, 8), 32
 _PREFIX = 24
 
 
@@ -68,7 +74,7 @@ def _checked(kind: Column, m: Column) -> Column:
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
-    """(uid, kind, place, start, end, base, votes of LABELERS, m): base matches that fail their checks are gone."""
+    """(uid, kind, place, start, end, base, votes of LABELERS, FEATURES): base matches that fail their checks are gone."""
     own = rows.where(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     upto = Window.partitionBy("uid", "shape").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.char_length("m")).over(upto)
@@ -80,11 +86,15 @@ def spans_of(rows: DataFrame) -> DataFrame:
     named = F.regexp_like(F.lower(F.concat("left", F.when(F.col("kind") == "secret", F.col("m")).otherwise(F.lit("")))), F.concat(F.lit("(^|[^a-z])("), words, F.lit(")[^a-z]")))
     clean_left = F.regexp_like("left", F.lit(r"(^|[\s(\[<\x22':=,;>#])$"))
     clean_right = F.regexp_like("right", F.lit(r"^($|[\s)\]>\x22',;!?<#]|[.:]($|\s))"))
+    word = F.regexp_extract(F.lower("left"), r"([a-z]+)[^a-z]*$", 1)
+    bits = sum((F.when(F.regexp_like("m", F.lit(c)), 1 << k).otherwise(0) for k, c in enumerate(("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Za-z]"))), F.lit(0))
     vote = lambda c: F.when(c, 1).otherwise(-1)
     return own.select(
-        "uid", "kind", _by_shape([KINDS.index(s[0]) for s in SHAPES]).alias("place"), "start", "end", "base", "m",
+        "uid", "kind", _by_shape([KINDS.index(s[0]) for s in SHAPES]).alias("place"), "start", "end", "base",
         vote(F.col("base")).alias("shape"), F.coalesce(F.when(F.col("checks"), 1).when(~F.col("checks"), -1), F.lit(0)).alias("checks"),
         F.when(named, 1).otherwise(0).alias("gazetteer"), F.when(clean_left & clean_right, 1).when(clean_left | clean_right, 0).otherwise(-1).alias("context"),
+        F.greatest(F.lit(_LENGTHS[0]), F.least(F.lit(_LENGTHS[1]), F.floor(F.log2(F.char_length("m"))).cast("int"))).alias("length"), bits.alias("classes"),
+        F.when(word != "", F.pmod(F.xxhash64(word), F.lit(_WORDS)).cast("int")).otherwise(-1).alias("before"),
     )
 
 
@@ -109,35 +119,51 @@ def estimate(patterns: dict[tuple[int, ...], int], turns: int = 100) -> tuple[fl
     return prior, rates, posterior
 
 
-def classifier(counts: dict[tuple[str, tuple[int, ...]], int], turns: int = 400) -> dict[str, float]:
-    """Weights of a logistic model on kind and votes, fitted to the posteriors of each kind's spans."""
-    soft: list[tuple[list[str], int, float]] = []
+def _names(kind: str, votes: tuple[int, ...], features: tuple[int, ...]) -> list[str]:
+    return [f"kind:{kind}", *(f"{name}:{v}" for name, v in zip(LABELERS, votes, strict=True)), *(f"{kind}:{name}:{v}" for name, v in zip(FEATURES, features))]  # noqa: B905
+
+
+def classifier(counts: dict[tuple, int], turns: int = 400) -> dict[str, float]:
+    """Weights of a logistic model on kind, votes and features, fitted to the posteriors of each kind's spans.
+
+    ``counts`` says how many spans are of each (kind, votes, features...). Each kind weighs the same, however rare.
+    """
+    cells, soft, weigh = [], [], []
     for kind in KINDS:
-        own = {p: n for (k, p), n in counts.items() if k == kind}
-        if own:
-            posterior = estimate(own)[2]
-            soft += [([f"kind:{kind}", *(f"{name}:{v}" for name, v in zip(LABELERS, p, strict=True))], n, posterior[p]) for p, n in own.items()]
-    weights: dict[str, float] = {}
-    total = sum(n for _, n, _ in soft) or 1
+        votes: dict[tuple[int, ...], int] = {}
+        for (k, p, *_), n in counts.items():
+            if k == kind:
+                votes[p] = votes.get(p, 0) + n
+        if votes:
+            posterior, total = estimate(votes)[2], sum(votes.values())
+            own = [(p, tuple(f), n) for (k, p, *f), n in sorted(counts.items()) if k == kind]
+            cells += [_names(kind, p, f) for p, f, _ in own]
+            soft += [posterior[p] for p, _, _ in own]
+            weigh += [n / total for _, _, n in own]
+    names = sorted({f for own in cells for f in own})
+    number = {f: k for k, f in enumerate(names)}
+    cell = np.repeat(np.arange(len(cells)), [len(own) for own in cells])
+    at = np.array([number[f] for own in cells for f in own], np.int64)
+    target, share, w = np.array(soft), np.array(weigh) / max(sum(weigh), 1e-300), np.zeros(len(names))
     for _ in range(turns):
-        grads: dict[str, float] = {}
-        for names, n, q in soft:
-            y = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(f, 0.0) for f in names)))))
-            for f in names:
-                grads[f] = grads.get(f, 0.0) + n / total * (q - y)
-        for f, g in grads.items():
-            weights[f] = weights.get(f, 0.0) + 2.0 * (g - 1e-4 * weights.get(f, 0.0))
-    return weights
+        y = 1 / (1 + np.exp(-np.clip(np.bincount(cell, w[at], len(cells)), -30, 30)))
+        w += np.bincount(at, (share * (target - y))[cell], len(names)) - 1e-4 * w
+    return dict(zip(names, w.tolist(), strict=True))
 
 
 def judged(spans: DataFrame) -> DataFrame:
-    """The spans that stay: base ones, and others that the classifier takes. At most 6 * 3^4 counts reach the driver."""
-    rows = spans.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
-    weights = classifier({(r["kind"], tuple(r[v] for v in LABELERS)): r["n"] for r in rows})
-    score = F.lit(0.0)
-    for f, w in sorted(weights.items()):
-        name, v = f.split(":")
-        score = score + F.when(F.col(name) == (F.lit(v) if name == "kind" else F.lit(int(v))), F.lit(w)).otherwise(0.0)
+    """The spans that stay: base ones, and others that the classifier takes.
+
+    Counts of what spans look like reach the driver, never spans: six kinds' votes and features make some 80,000 at most.
+    """
+    seen = [*LABELERS, *FEATURES]
+    rows = spans.groupBy("kind", *seen).agg(F.count(F.lit(1)).alias("n")).collect()
+    weights = classifier({(r["kind"], tuple(r[v] for v in LABELERS), *(r[v] for v in FEATURES)): r["n"] for r in rows})
+    if not weights:
+        return spans
+    of = F.create_map(*[F.lit(x) for f in sorted(weights.items()) for x in f])
+    terms = [F.concat(F.lit("kind:"), "kind"), *[F.concat_ws(":", F.lit(v), v) for v in LABELERS], *[F.concat_ws(":", "kind", F.lit(v), v) for v in FEATURES]]
+    score = sum((F.coalesce(F.try_element_at(of, t), F.lit(0.0)) for t in terms), F.lit(0.0))
     return spans.where(F.col("base") | (score >= 0))
 
 

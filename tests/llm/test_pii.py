@@ -93,6 +93,33 @@ def test_reliable_labelers_are_recognised():
     assert weights["shape:1"] > weights["gazetteer:1"] and weights["shape:-1"] < 0
 
 
+def labelled(rnd):
+    """(text, whether its one span is personal): kinds beyond the base shapes, some named by no gazetteer word."""
+    n = lambda k: "".join(rnd.choices("0123456789", k=k))
+    phone, number = f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}-{n(2)}-{n(4)}"
+    word = rnd.choice(["alpha", "bravo", "delta", "gamma"])
+    good = [f"{word} call {phone} today", f"{word} please call me on {phone} today", f"{word} we meet, so ring us on {phone}, thanks", f"{word} her ssn {number}.", f"{word} write to me.{word} [at] example [dot] com soon", f"{word} token: {n(8)}abcdef{n(4)} ends"]
+    bad = [f"{word} batch/{phone}/{word}", f"{word} part_{phone}_{word}", f"{word} lot={number}={word}", f"{word} rev~{number}~x"]
+    return (rnd.choice(good), True) if rnd.random() < 0.6 else (rnd.choice(bad), False)
+
+
+def test_precision_and_recall_beyond_the_base_shapes(spark):
+    rnd = random.Random(7)
+    rows = [(k, *labelled(rnd)) for k in range(3000)]
+    got = {r.doc_id for r in find_pii(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect() if r.spans}
+    want = {k for k, _, personal in rows if personal}
+    assert len(got & want) / len(got) >= 0.95 and len(got & want) / len(want) >= 0.95
+    ring = {k for k, t, _ in rows if "ring us" in t}  # no word of the gazetteer: told by the word before
+    assert len(ring & got) / len(ring) >= 0.95
+
+
+def test_features_tell_where_votes_are_silent():
+    known = {("phone", (-1, 0, 1, 1), 3, 9, 5): 500, ("phone", (-1, 0, 0, -1), 3, 9, 6): 500, ("phone", (1, 1, 1, 1), 4, 9, 5): 500}
+    weights = classifier({**known, ("phone", (-1, 0, 0, 0), 3, 9, 5): 20, ("phone", (-1, 0, 0, 0), 3, 9, 6): 20})
+    assert weights["phone:before:5"] > 0 > weights["phone:before:6"]
+    assert classifier({}) == {}
+
+
 def test_no_python_on_the_executors(spark):
     plan = find_pii(spark.createDataFrame([(1, "a@b.cc")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
