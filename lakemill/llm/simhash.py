@@ -9,7 +9,8 @@ then pass the budgets of all chains of that start, and only then the full Hammin
 64 bits and 3 differences find only the closest of near copies: five-word shingles with a Jaccard similarity of 0.8 differ in
 some 15 % of the bits. ``near_duplicate_components`` therefore adds wide fingerprints of 512 bits over such shingles: pairs
 meet where one of 36 segments of 14 bits is equal, then chains of 64-bit words from there on must stay within budgets in
-proportion (and a margin, as wide fingerprints estimate), the whole ring last.
+proportion (and a margin, as wide fingerprints estimate), the whole ring last. Pairs far below the bits of the threshold are
+links; of those around it, the shingles themselves decide, in blocks of texts of bounded size.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ _SHORT, _LONG = 32, 2048
 
 #: Wide fingerprints: 64-bit words, segments that are keys, and their bits.
 WIDE, KEYS, KEY_BITS = 8, 36, 14
+#: Wide fingerprints nearer than the threshold's bits by SURE deviations link, those farther by DOUBT don't; the shingles
+#: decide between. Texts of doubtful pairs meet in blocks of about so many bytes and pairs.
+SURE, DOUBT = 3.0, 3.0
+BLOCK_BYTES, BLOCK_PAIRS = 8 << 20, 1 << 20
 _SPREAD = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -253,14 +258,15 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
 
 
-def differing(similarity: float, margin: float = 1.0) -> int:
+def differing(similarity: float, margin: float = 0.0) -> int:
     """Bits of a wide fingerprint that texts of this Jaccard similarity differ in, and ``margin`` deviations more."""
     n, p = BITS * WIDE, math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(n * p + margin * math.sqrt(n * p * (1 - p)))
 
 
-def _within(a: np.ndarray, b: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
-    """Which rows of two arrays of wide fingerprints stay within the budgets of the chains from their starting words."""
+def _within(a: np.ndarray, b: np.ndarray, start: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two arrays of wide fingerprints stay within the budgets of the chains from their starting words, and the
+    bits that these differ in."""
     at, total = np.arange(len(start)), np.zeros(len(start), np.int64)
     for length in range(1, WIDE + 1):
         word = (start[at] + length - 1) % WIDE
@@ -270,7 +276,7 @@ def _within(a: np.ndarray, b: np.ndarray, start: np.ndarray, most: int) -> np.nd
         at, total = at[ok], total[ok]
         if not len(at):
             break
-    return at
+    return at, total
 
 
 def _wide_forest(fp: np.ndarray, start: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +295,7 @@ def _wide_forest(fp: np.ndarray, start: int, most: int) -> tuple[np.ndarray, np.
                 some = front[at : at + max(1, (1 << 18) // len(rest))]
                 at += len(some)
                 x, y = np.repeat(some, len(rest)), np.tile(rest, len(some))
-                hit[y[_within(fp[x], fp[left[y]], np.full(len(x), start), most)]] = True
+                hit[y[_within(fp[x], fp[left[y]], np.full(len(x), start), most)[0]]] = True
             front, left = left[hit], left[~hit]
             a.append(np.full(len(front), seed))
             b.append(front)
@@ -307,28 +313,45 @@ def _wide_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(at), batch.column(1).take(at)], names=["k", "wide", "id"])
 
 
-def _wide_links(most: int):
+def _doubtful_of_run(fp: np.ndarray, group: np.ndarray, start: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of a long run within ``most`` bits whose groups differ, some at a time."""
+    n = len(fp)
+    step = max(1, (1 << 18) // n)
+    for at in range(0, n, step):
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(at, min(n, at + step)), np.arange(at, n), indexing="ij"))
+        apart = (x < y) & (group[x] != group[y])
+        x, y = x[apart], y[apart]
+        some, _ = _within(fp[x], fp[y], np.full(len(x), start), most)
+        yield x[some], y[some]
+
+
+def _wide_links(sure: int, most: int):
+    """Pairs within ``sure`` bits (of a long run a spanning forest), and with sure false those within ``most`` bits that the
+    run's own links do not join already."""
+
+    def batch(a, b, near):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "sure"])
+
     def of_runs(keys, fps, ids):
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         length = np.diff(edge)
         start_of = (keys >> KEY_BITS) * KEY_BITS // BITS
-        out_a, out_b = [], []
         for at in np.flatnonzero(length > _SHORT):
-            s, e = edge[at], edge[at + 1]
-            a, b = _wide_forest(fps[s:e], int(start_of[s]), most)
-            out_a.append(ids[s:e][a])
-            out_b.append(ids[s:e][b])
+            own, own_ids, start = fps[edge[at] : edge[at + 1]], ids[edge[at] : edge[at + 1]], int(start_of[edge[at]])
+            a, b = _wide_forest(own, start, sure)
+            yield batch(own_ids[a], own_ids[b], np.ones(len(a), bool))
+            group = np.arange(len(own))
+            group[b] = a
+            for a, b in _doubtful_of_run(own, group, start, most):
+                yield batch(own_ids[a], own_ids[b], np.zeros(len(a), bool))
         short = np.repeat((length > 1) & (length <= _SHORT), length)
         keys, fps, ids, start = keys[short], fps[short], ids[short], start_of[short]
         for d in range(1, min(_SHORT, len(keys))):
             same = np.flatnonzero(keys[d:] == keys[:-d])
             if not len(same):
                 break
-            same = same[_within(fps[same], fps[same + d], start[same], most)]
-            out_a.append(ids[same])
-            out_b.append(ids[same + d])
-        a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            some, total = _within(fps[same], fps[same + d], start[same], most)
+            yield batch(ids[same[some]], ids[same[some] + d], total <= sure)
 
     def read(batch):
         fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(-1, WIDE).astype(np.uint64)
@@ -336,19 +359,81 @@ def _wide_links(most: int):
 
     def run(batches):
         for own in _whole_runs(batches, read):
-            yield of_runs(*own)
+            yield from of_runs(*own)
 
     return run
 
 
-def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, component_id, root, and the columns ``keep``) for every row: documents joined by their 64-bit fingerprints, as
-    in ``simhash_components``, or by wide ones. ``root`` names the component also where no row of it has an id.
+def _verify(similarity: float, words: int):
+    """Pairs whose sets of shingles are that similar; of those that a block's links join already, none is compared.
 
-    Wide fingerprints link where the sets of ``words``-word shingles have an estimated Jaccard similarity of ``similarity``
-    or more. A pair right at 0.8 shares a key with probability 0.98, a pair at 0.9 nearly always, and is then within the
-    bits of ``differing`` with probability 0.84 (a pair at 0.85 with 0.99). Pairs that meet by chance are N^2 / 900 checks
-    of some words each: at N of 10^9 raise KEY_BITS. Nulls, repeats and extra columns as in ``simhash_components``.
+    Rows come by block (grp, i, j), its texts (a, text) before its pairs (a, b and their roots ra, rb)."""
+
+    def run(batches):
+        block, sets, parent = None, {}, {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in slices(batches):
+            out_a, out_b = [], []
+            for *own, a, b, ra, rb, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != block:
+                    block, sets, parent = own, {}, {}
+                if b is None:
+                    sets[a] = np.unique(_hashes(_words_of(text), words))
+                    continue
+                x, y, ra, rb = sets[a], sets[b], find(ra), find(rb)
+                if ra == rb or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= similarity * (len(x) + len(y) - shared):
+                    parent[rb] = ra
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b, of groups ra and rb) that exact similarity links, but for those between groups linked already.
+
+    Pairs of one connected set of groups meet in one block; of a large set, its texts are dealt into parts and each two parts
+    are a block, so that a block's texts and pairs stay bounded and a text is sent to as many blocks as its set has parts.
+    ``nodes`` (id, text_key, n_bytes) name their texts in ``texts`` (text_key, text).
+    """
+    grouped = pairs.join(components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("ra"), F.col("component_id").alias("grp")), "ra")
+    grouped = materialise(grouped, "doubtful-groups")
+    ends = grouped.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "text_key", "n_bytes"), "id")
+    ends = materialise(ends, "doubtful-nodes")
+    parts = ends.groupBy("grp").agg(F.sum("n_bytes").alias("size")).join(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("pairs")), "grp")
+    parts = parts.select("grp", F.ceil(F.greatest(F.col("size") / BLOCK_BYTES, F.sqrt(F.col("pairs") / BLOCK_PAIRS))).alias("n")).where("n > 1")
+    i, j = (F.pmod(F.xxhash64(c), F.coalesce("n", F.lit(1))) for c in ("a", "b"))
+    placed = materialise(grouped.join(parts, "grp", "left").select("grp", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b", "ra", "rb"), "doubtful-blocks")
+    named = texts.join(ends.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    named = materialise(ends.select("id", "text_key").distinct().join(named, "text_key").select("id", "text"), "doubtful-texts")
+    place = ["grp", "i", "j"]
+    sent = placed.select(*place, F.explode(F.array("a", "b")).alias("id")).distinct().join(named, "id")
+    none = F.lit(None).cast("long")
+    rows = sent.select(*place, F.col("id").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), "text").union(placed.select("*", F.lit(None).cast("string").alias("text")))
+    return rows.repartition(*place).sortWithinPartitions(*place, F.col("b").isNotNull()).mapInArrow(_verify(similarity, words), "a long, b long")
+
+
+def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, component_id, root, and the columns ``keep``) for every row: documents joined as near duplicates. ``root``
+    names the component also where no row of it has an id.
+
+    Texts link where the sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Candidates are
+    pairs that ``simhash_components`` would link and pairs that share a key of their wide fingerprints (right at 0.8 with
+    probability 0.98, at 0.9 nearly always). Wide fingerprints nearer than ``differing`` less SURE deviations are links by
+    themselves; of the rest, up to DOUBT deviations beyond it, exact similarity decides. Pairs of wide fingerprints that meet
+    by chance are N^2 / 900 checks of some words each: at N of 10^9 raise KEY_BITS. Only texts of doubtful pairs travel while
+    Spark finds the list of these small enough to broadcast; beyond that one join shuffles all texts once.
+    Nulls, repeats and extra columns as in ``simhash_components``.
     """
 
     def both(batches):
@@ -358,18 +443,26 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: i
             columns = [batch.column(0), pa.array(fps.view(np.int64)), pa.array([_wide(w, words) for w in own], pa.binary()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "wide", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     kinds = dict(rows.dtypes)
-    fps = materialise(rows.mapInArrow(both, "doc_id long, fp long, wide binary" + "".join(f", `kept_{c}` {kinds[f'kept_{c}']}" for c in keep)), "simhash")
-    nodes = fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
+    fps = materialise(rows.mapInArrow(both, "doc_id long, fp long, wide binary, text_key long, n_bytes long" + "".join(f", `kept_{c}` {kinds[f'kept_{c}']}" for c in keep)), "simhash")
+    nodes = fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.max("n_bytes").alias("n_bytes")).withColumn("id", F.monotonically_increasing_id())
     nodes = materialise(nodes, "simhash-nodes")
     narrow = materialise(nodes.groupBy("fp").agg(F.min("id").alias("id")), "simhash-narrow")
     wide = materialise(nodes.groupBy("wide").agg(F.min("id").alias("id")), "simhash-wide")
     keyed = wide.select("wide", "id").mapInArrow(_wide_keys, "k long, wide binary, id long").repartition("k").sortWithinPartitions("k")
-    near = keyed.mapInArrow(_wide_links(differing(similarity)), "a long, b long")
+    near = materialise(keyed.mapInArrow(_wide_links(differing(similarity, -SURE), differing(similarity, DOUBT)), "a long, b long, sure boolean"), "simhash-pairs")
     same = [nodes.alias("n").join(x.alias("x"), by).where("n.id <> x.id").select(F.col("n.id").alias("a"), F.col("x.id").alias("b")) for x, by in ((narrow, "fp"), (wide, "wide"))]
-    found = components(links(narrow).union(near).union(same[0]).union(same[1]))
-    named = _labelled(nodes, found).select("fp", "wide", "component_id", "root")
+    sure = components(near.where("sure").select("a", "b").union(same[1]))
+    pairs = near.where("not sure").select("a", "b").union(links(narrow)).union(same[0])
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sure.select(F.col("node").alias(end), F.col("component_id").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    pairs = materialise(pairs.where("ra <> rb").select("a", "b", "ra", "rb"), "doubtful")
+    more = _verified(pairs, nodes, rows.select("text_key", F.col("t").alias("text")), similarity, words)
+    found = components(sure.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
+    named = _labelled(nodes.select("fp", "wide", "least", "id"), found).select("fp", "wide", "component_id", "root")
     return fps.join(named, ["fp", "wide"]).select("doc_id", "component_id", "root", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 

@@ -131,16 +131,18 @@ def test_the_whole_pipeline_leaves_one_table(spark, folder):
 
 
 def test_no_copy_is_a_false_friend(spark):
-    """Texts at a similarity of 0.6 and below never share a group."""
+    """Texts at a similarity below 0.8, though near it, keep a row each."""
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choices("abcdefgh", k=6))
     rows = []
-    for g in range(60):
+    for g in range(120):
         base = [word() for _ in range(300)]
         rows.append((2 * g, " ".join(base)))
-        for at in rnd.sample(range(300), 16):
+        for at in rnd.sample(range(300), rnd.randrange(8, 17)):
             base[at] = word()
         rows.append((2 * g + 1, " ".join(base)))
-    assert all(len(shingles(a[1]) & shingles(b[1])) <= 0.72 * len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    like = [len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    close = {2 * k + 1 for k, x in enumerate(like) if x >= 0.8}
+    assert sum(0.7 <= x < 0.8 for x in like) > 20
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
-    assert P.near_duplicates(spark, docs, "").count() >= len(rows) - 3
+    assert {r.doc_id for r in P.near_duplicates(spark, docs, "").collect()} >= {i for i, _ in rows} - close
