@@ -452,7 +452,9 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: i
     narrow = materialise(nodes.groupBy("fp").agg(F.min("id").alias("id")), "simhash-narrow")
     wide = materialise(nodes.groupBy("wide").agg(F.min("id").alias("id")), "simhash-wide")
     keyed = wide.select("wide", "id").mapInArrow(_wide_keys, "k long, wide binary, id long").repartition("k").sortWithinPartitions("k")
-    near = materialise(keyed.mapInArrow(_wide_links(differing(similarity, -SURE), differing(similarity, DOUBT)), "a long, b long, sure boolean"), "simhash-pairs")
+    near = keyed.mapInArrow(_wide_links(differing(similarity, -SURE), differing(similarity, DOUBT)), "a long, b long, sure boolean")
+    near = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
+    near = materialise(near, "simhash-pairs")
     same = [nodes.alias("n").join(x.alias("x"), by).where("n.id <> x.id").select(F.col("n.id").alias("a"), F.col("x.id").alias("b")) for x, by in ((narrow, "fp"), (wide, "wide"))]
     sure = components(near.where("sure").select("a", "b").union(same[1]))
     pairs = near.where("not sure").select("a", "b").union(links(narrow)).union(same[0])
