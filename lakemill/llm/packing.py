@@ -27,21 +27,39 @@ LENGTH, END = 1024, 0
 
 
 def best_pattern(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable multiset of lengths (ascending) that fits, as counts."""
-    best, last = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(int(lengths[0]), room + 1):
-        k = np.searchsorted(lengths, c, "right")
-        got = best[c - lengths[:k]] + values[:k]
-        at = int(got.argmax())
-        best[c], last[c] = (got[at], at) if got[at] > best[c - 1] else (best[c - 1], -1)
-    counts, c = np.zeros(len(lengths)), room
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
+    """Unbounded knapsack: the most valuable multiset of lengths (ascending) that fits, as counts.
+
+    What fits c is one item of more than two thirds of c beside the rest, or splits in two that fit two thirds each: so all
+    rooms of a half more than those known are found at once.
+    """
+    item = np.full(room + 1, -np.inf)
+    item[lengths] = values
+    best, parts, known_at = np.zeros(room + 1), np.zeros(room + 1, np.int64), np.zeros(room + 1, np.int64)
+    whole = item.copy()  # of a part: the best where that is known, else one item
+    best[:2] = whole[:2] = 0.0, max(item[1], 0.0)
+    known, needed = 1, 2 * room // 3
+    while known < room:
+        first, last = (known + 1, min((3 * known + 2) // 2, needed)) if known < needed else (room, room)
+        least = min(last // 2, first)
+        split = np.lib.stride_tricks.sliding_window_view(whole[first - least : last + 1], least + 1) + best[least::-1]
+        at = split.argmax(axis=1)
+        best[first : last + 1] = split[np.arange(len(at)), at]
+        parts[first : last + 1], known_at[first : last + 1] = least - at, known
+        whole[first : last + 1] = best[first : last + 1]
+        known = last
+    counts, left = np.zeros(room + 1), [room]
+    while left:
+        c = left.pop()
+        if c <= 1:
+            counts[c] += c and item[1] > 0
+            continue
+        q = int(parts[c])
+        left.append(q)
+        if c - q > known_at[c]:
+            counts[c - q] += 1
         else:
-            counts[last[c]] += 1
-            c -= lengths[last[c]]
-    return best[room], counts
+            left.append(c - q)
+    return best[room], counts[lengths]
 
 
 def first_basis(lengths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +132,8 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, gap: f
         x[out] = theta
         np.maximum(x, 0, out=x)
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
+        moved = np.flatnonzero(np.abs(step) > 1e-12)  # a tenth of the rows, mostly
+        inverse[moved] -= np.outer(step[moved], row)
         inverse[out] = row
         duals += row * (1 - value)
         patterns[out] = column

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,3 +74,37 @@ def test_plans_place_each_rank_once(seed):
         assert rank == n
     assert max(fill.values()) <= 1024 and len(fill) == sequences
     assert items.sum() / 1024 / sequences > 0.985
+
+
+def step_by_step(lengths, values, room):
+    best = np.zeros(room + 1)
+    for c in range(int(lengths[0]), room + 1):
+        k = np.searchsorted(lengths, c, "right")
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + values[:k]).max())
+    return best[room]
+
+
+def test_pricing_over_every_length_is_exact_and_takes_no_step_for_each_room():
+    rnd = np.random.default_rng(7)
+    lengths = np.arange(1, 1024)
+    took = {best_pattern: [], step_by_step: []}
+    for _ in range(12):
+        values = np.maximum(lengths / 1024 + rnd.normal(0, 0.02, 1023), -0.01)
+        got = {}
+        for f, own in took.items():
+            began = time.thread_time()
+            got[f] = f(lengths, values, 1024)
+            own.append(time.thread_time() - began)
+        value, counts = got[best_pattern]
+        assert value == pytest.approx(got[step_by_step]) == pytest.approx(counts @ values) and counts @ lengths <= 1024
+    assert np.median(took[best_pattern]) < 0.6 * np.median(took[step_by_step])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pricing_of_few_lengths_is_exact(seed):
+    rnd = np.random.default_rng(seed)
+    room = int(rnd.integers(2, 150))
+    lengths = np.sort(rnd.choice(np.arange(1, room + 1), rnd.integers(1, min(room, 12) + 1), replace=False))
+    values = rnd.normal(0.3, 0.5, len(lengths))
+    value, counts = best_pattern(lengths, values, room)
+    assert value == pytest.approx(step_by_step(lengths, values, room)) == pytest.approx(counts @ values) and counts @ lengths <= room
