@@ -10,7 +10,8 @@ then pass the budgets of all chains of that start, and only then the full Hammin
 some 15 % of the bits. ``near_duplicate_components`` therefore adds wide fingerprints of 512 bits over such shingles: pairs
 meet where one of 36 segments of 14 bits is equal, then chains of 64-bit words from there on must stay within budgets in
 proportion (and a margin, as wide fingerprints estimate), the whole ring last. Pairs far below the bits of the threshold are
-links; of those around it, the shingles themselves decide, in blocks of texts of bounded size.
+links; of those around it, the shingles themselves decide, in blocks of texts of bounded size. Long runs of one key give
+spanning forests alone, so that rows stay in proportion to texts however many pairs a family has.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _SHORT, _LONG = 32, 2048
 #: Wide fingerprints: 64-bit words, segments that are keys, and their bits.
 WIDE, KEYS, KEY_BITS = 8, 36, 14
 #: Wide fingerprints nearer than the threshold's bits by SURE deviations link, those farther by DOUBT don't; the shingles
-#: decide between. Texts of doubtful pairs meet in blocks of about so many bytes and pairs.
+#: decide between. Texts of doubtful pairs meet in blocks of two parts of about so many bytes, and so many pairs.
 SURE, DOUBT = 3.0, 3.0
 BLOCK_BYTES, BLOCK_PAIRS = 8 << 20, 1 << 20
 _SPREAD = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -313,21 +314,38 @@ def _wide_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(at), batch.column(1).take(at)], names=["k", "wide", "id"])
 
 
-def _doubtful_of_run(fp: np.ndarray, group: np.ndarray, start: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (positions) of a long run within ``most`` bits whose groups differ, some at a time."""
+def _doubtful_of_run(fp: np.ndarray, group: np.ndarray, start: int, most: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of a long run within ``most`` bits whose groups differ, and whose labels do by then, some at a time."""
     n = len(fp)
     step = max(1, (1 << 18) // n)
     for at in range(0, n, step):
         x, y = (v.ravel() for v in np.meshgrid(np.arange(at, min(n, at + step)), np.arange(at, n), indexing="ij"))
         apart = (x < y) & (group[x] != group[y])
+        if label is not None:
+            apart &= label[x] != label[y]
         x, y = x[apart], y[apart]
         some, _ = _within(fp[x], fp[y], np.full(len(x), start), most)
         yield x[some], y[some]
 
 
+def _doubtful_forest(fp: np.ndarray, group: np.ndarray, start: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join what doubtful pairs of a long run join, each from the smallest position: at most
+    len(fp) - 1 of them, and every position that has a doubtful pair is in one."""
+    label = np.arange(len(fp))
+    for x, y in _doubtful_of_run(fp, group, start, most, label):
+        while (apart := label[x] != label[y]).any():
+            x, y = label[x[apart]], label[y[apart]]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while ((up := label[label]) != label).any():
+                label[:] = up
+    at = np.flatnonzero(label != np.arange(len(fp)))
+    return label[at], at
+
+
 def _wide_links(sure: int, most: int):
-    """Pairs within ``sure`` bits (of a long run a spanning forest), and with sure false those within ``most`` bits that the
-    run's own links do not join already."""
+    """Pairs within ``sure`` bits, and with sure false those within ``most`` bits. Of a long run spanning forests: of the sure
+    ones, and of the doubtful ones that these do not join. Their links start at the smallest ids, so that most keys of a
+    family give the same."""
 
     def batch(a, b, near):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "sure"])
@@ -337,13 +355,14 @@ def _wide_links(sure: int, most: int):
         length = np.diff(edge)
         start_of = (keys >> KEY_BITS) * KEY_BITS // BITS
         for at in np.flatnonzero(length > _SHORT):
-            own, own_ids, start = fps[edge[at] : edge[at + 1]], ids[edge[at] : edge[at + 1]], int(start_of[edge[at]])
+            order = edge[at] + np.argsort(ids[edge[at] : edge[at + 1]])
+            own, own_ids, start = fps[order], ids[order], int(start_of[edge[at]])
             a, b = _wide_forest(own, start, sure)
             yield batch(own_ids[a], own_ids[b], np.ones(len(a), bool))
             group = np.arange(len(own))
             group[b] = a
-            for a, b in _doubtful_of_run(own, group, start, most):
-                yield batch(own_ids[a], own_ids[b], np.zeros(len(a), bool))
+            a, b = _doubtful_forest(own, group, start, most)
+            yield batch(own_ids[a], own_ids[b], np.zeros(len(a), bool))
         short = np.repeat((length > 1) & (length <= _SHORT), length)
         keys, fps, ids, start = keys[short], fps[short], ids[short], start_of[short]
         for d in range(1, min(_SHORT, len(keys))):
@@ -364,63 +383,88 @@ def _wide_links(sure: int, most: int):
     return run
 
 
-def _verify(similarity: float, words: int):
-    """Pairs whose sets of shingles are that similar; of those that a block's links join already, none is compared.
+def _similar(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (positions) that join what exact similarity joins between unlike roots, at most one for each root but the first.
+
+    With sides (0 and 1) only texts of unlike sides are compared: those of like sides meet elsewhere. A text is compared with
+    all that no link has reached, their shared shingles counted at once."""
+    sizes = np.array([len(x) for x in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    lay = lambda at: (at, np.concatenate([own[i] for i in at]) if len(at) else flat[:0])
+    laid = {0: lay(np.arange(len(sets)))} if side is None else {k: lay(np.flatnonzero(side != k)) for k in (0, 1)}
+    of = {r: np.flatnonzero(root == r) for r in np.unique(root).tolist()}
+    left, mark = np.ones(len(sets), bool), np.zeros(len(names), np.int32)
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        front = of[int(root[seed])].tolist()
+        left[front] = False
+        while front:
+            x = front.pop()
+            k = 0 if side is None else int(side[x])
+            if 2 * left[laid[k][0]].sum() <= len(laid[k][0]):  # those that are reached go from time to time
+                laid[k] = lay(laid[k][0][left[laid[k][0]]])
+            at, held = laid[k]
+            if not len(at):
+                continue
+            mark[own[x]] = 1
+            shared = np.add.reduceat(mark[held], np.cumsum(sizes[at]) - sizes[at])
+            mark[own[x]] = 0
+            for y in at[left[at] & (shared >= similarity * (sizes[x] + sizes[at] - shared))].tolist():
+                if left[y]:
+                    new = of[int(root[y])]
+                    left[new] = False
+                    front += new.tolist()
+                    yield x, y
 
-    Rows come by block (grp, i, j), its texts (a, text) before its pairs (a, b and their roots ra, rb)."""
 
-    def run(batches):
-        block, sets, parent = None, {}, {}
+def _verify(similarity: float, words: int):
+    """Links between texts of unlike roots whose sets of shingles are that similar, of each block a spanning forest.
 
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    Rows come by block (grp, i, j): a text's part, id, root and text."""
 
+    def run(batches):
+        def links_of(block, rows):
+            part, ids, roots, sets = zip(*rows, strict=True)
+            side = None if block[1] == block[2] else (np.array(part) == block[2]).astype(int)
+            found = list(_similar(sets, np.array(roots), side, similarity)) if len(set(roots)) > 1 else []
+            a, b = ([ids[pair[k]] for pair in found] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        block, rows = None, []
         for batch in slices(batches):
-            out_a, out_b = [], []
-            for *own, a, b, ra, rb, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *own, part, id_, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != block:
-                    block, sets, parent = own, {}, {}
-                if b is None:
-                    sets[a] = np.unique(_hashes(_words_of(text), words))
-                    continue
-                x, y, ra, rb = sets[a], sets[b], find(ra), find(rb)
-                if ra == rb or min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared >= similarity * (len(x) + len(y) - shared):
-                    parent[rb] = ra
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    if rows:
+                        yield links_of(block, rows)
+                    block, rows = own, []
+                rows.append((part, id_, root, np.unique(_hashes(_words_of(text), words))))
+        if rows:
+            yield links_of(block, rows)
 
     return run
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b, of groups ra and rb) that exact similarity links, but for those between groups linked already.
+    """Pairs (a, b) that join what exact similarity joins among the ends of ``pairs`` (a, b, of groups ra and rb).
 
-    Pairs of one connected set of groups meet in one block; of a large set, its texts are dealt into parts and each two parts
-    are a block, so that a block's texts and pairs stay bounded and a text is sent to as many blocks as its set has parts.
-    ``nodes`` (id, text_key, n_bytes) name their texts in ``texts`` (text_key, text).
+    All ends in one connected set of groups are compared, but for those of one group. A large set's texts are dealt into
+    parts and each two parts are a block, so that a block's texts and pairs stay bounded and a text is sent to as many blocks
+    as its set has parts. ``nodes`` (id, text_key, n_bytes) name their texts in ``texts`` (text_key, text).
     """
-    grouped = pairs.join(components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("ra"), F.col("component_id").alias("grp")), "ra")
-    grouped = materialise(grouped, "doubtful-groups")
-    ends = grouped.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "text_key", "n_bytes"), "id")
-    ends = materialise(ends, "doubtful-nodes")
-    parts = ends.groupBy("grp").agg(F.sum("n_bytes").alias("size")).join(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("pairs")), "grp")
-    parts = parts.select("grp", F.ceil(F.greatest(F.col("size") / BLOCK_BYTES, F.sqrt(F.col("pairs") / BLOCK_PAIRS))).alias("n")).where("n > 1")
-    i, j = (F.pmod(F.xxhash64(c), F.coalesce("n", F.lit(1))) for c in ("a", "b"))
-    placed = materialise(grouped.join(parts, "grp", "left").select("grp", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b", "ra", "rb"), "doubtful-blocks")
+    groups = components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("component_id").alias("grp"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ra").alias("root")), F.struct(F.col("b").alias("id"), F.col("rb").alias("root")))).alias("end")).select("end.*").distinct()
+    ends = materialise(ends.join(groups, "root").join(nodes.select("id", "text_key", "n_bytes"), "id"), "doubtful-nodes")
+    parts = ends.groupBy("grp").agg(F.sum("n_bytes").alias("size"), F.count(F.lit(1)).alias("texts"))
+    parts = parts.select("grp", F.ceil(F.greatest(F.col("size") / BLOCK_BYTES, F.col("texts") / math.sqrt(2 * BLOCK_PAIRS))).cast("long").alias("n")).where("n > 1")
+    dealt = ends.join(parts, "grp", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = materialise(dealt.select("grp", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id", "root"), "doubtful-blocks")
     named = texts.join(ends.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
-    named = materialise(ends.select("id", "text_key").distinct().join(named, "text_key").select("id", "text"), "doubtful-texts")
-    place = ["grp", "i", "j"]
-    sent = placed.select(*place, F.explode(F.array("a", "b")).alias("id")).distinct().join(named, "id")
-    none = F.lit(None).cast("long")
-    rows = sent.select(*place, F.col("id").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), "text").union(placed.select("*", F.lit(None).cast("string").alias("text")))
-    return rows.repartition(*place).sortWithinPartitions(*place, F.col("b").isNotNull()).mapInArrow(_verify(similarity, words), "a long, b long")
+    named = materialise(ends.select("id", "text_key").join(named, "text_key").select("id", "text"), "doubtful-texts")
+    sent = placed.join(named, "id").select("grp", "i", "j", "part", "id", "root", "text")
+    return sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(similarity, words), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -430,7 +474,7 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: i
     Texts link where the sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Candidates are
     pairs that ``simhash_components`` would link and pairs that share a key of their wide fingerprints (right at 0.8 with
     probability 0.98, at 0.9 nearly always). Wide fingerprints nearer than ``differing`` less SURE deviations are links by
-    themselves; of the rest, up to DOUBT deviations beyond it, exact similarity decides. Pairs of wide fingerprints that meet
+    themselves; of the texts of the rest, up to DOUBT deviations beyond it, exact similarity decides. Pairs of wide fingerprints that meet
     by chance are N^2 / 900 checks of some words each: at N of 10^9 raise KEY_BITS. Only texts of doubtful pairs travel while
     Spark finds the list of these small enough to broadcast; beyond that one join shuffles all texts once.
     Nulls, repeats and extra columns as in ``simhash_components``.
@@ -461,7 +505,7 @@ def near_duplicate_components(docs: DataFrame, similarity: float = 0.8, words: i
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(sure.select(F.col("node").alias(end), F.col("component_id").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-    pairs = materialise(pairs.where("ra <> rb").select("a", "b", "ra", "rb"), "doubtful")
+    pairs = materialise(pairs.select("a", "b", "ra", "rb"), "doubtful")
     more = _verified(pairs, nodes, rows.select("text_key", F.col("t").alias("text")), similarity, words)
     found = components(sure.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more))
     named = _labelled(nodes.select("fp", "wide", "least", "id"), found).select("fp", "wide", "component_id", "root")

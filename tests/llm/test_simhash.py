@@ -230,3 +230,51 @@ def test_a_long_run_gives_its_doubtful_pairs_once_between_groups():
     assert len(set(group)) == 2
     pairs = [p for x, y in _doubtful_of_run(fp, group, 0, 101) for p in zip(x.tolist(), y.tolist(), strict=True)]
     assert len(pairs) == len(set(pairs)) == 300 * 400
+
+
+def test_the_rows_of_a_long_run_grow_with_its_texts_not_its_pairs():
+    """A family around the threshold: its doubtful pairs are many, but the links that leave a task join what they join."""
+    import pyarrow as pa
+
+    from lakemill.llm.simhash import _wide_links, _within
+
+    rnd = np.random.default_rng(6)
+    for n in (200, 800):
+        bits = np.repeat(rnd.integers(0, 2, (1, 512), dtype=np.uint8), n, axis=0)
+        for own in bits[:-20]:
+            own[rnd.choice(np.arange(20, 512), rnd.integers(20, 60), replace=False)] ^= 1
+        bits[-20:, 14:] = rnd.integers(0, 2, (20, 498))
+        wide, ids = np.packbits(bits, axis=1), rnd.permutation(n) * 5
+        batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array(ids)], names=["k", "wide", "id"])
+        out = pa.Table.from_batches(list(_wide_links(53, 101)([batch]))).to_pylist()
+        fp = wide.view(">u8").astype(np.uint64)
+        x, y = np.triu_indices(n, 1)
+        some, total = _within(fp[x], fp[y], np.zeros(len(x), np.int64), 101)
+        pairs = {(int(ids[a]), int(ids[b])) for a, b in zip(x[some], y[some], strict=True)}
+        assert len(pairs) > 10 * n and (total > 53).sum() > 10 * n and len(out) <= 2 * (n - 1)
+        at = {int(k): j for j, k in enumerate(ids)}
+        got, want = (slow_roots(n, np.array([at[a] for a, _ in z]), np.array([at[b] for _, b in z])) for z in ([(r["a"], r["b"]) for r in out], sorted(pairs)))
+        assert got == want
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_blocks_join_what_exact_similarity_joins(sides):
+    from lakemill.llm.simhash import _similar
+
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = []
+    for k in range(160):
+        own = base.copy() if k % 40 else rnd.integers(0, 2**63, 100, dtype=np.uint64)
+        cut = rnd.integers(0, 40)
+        own[:cut] = rnd.integers(0, 2**63, cut, dtype=np.uint64)
+        sets.append(np.unique(own))
+    root = np.where(np.arange(160) % 3, np.arange(160), np.arange(160) % 9) + 1000
+    side = rnd.integers(0, 2, 160) if sides else None
+    links = list(_similar(sets, root, side, 0.8))
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    true = [(i, j) for i in range(160) for j in range(i) if root[i] != root[j] and (side is None or side[i] != side[j]) and alike(i, j)]
+    assert all(alike(i, j) and root[i] != root[j] for i, j in links) and len(links) < len(set(root.tolist()))
+    like = [(i, j) for i in range(160) for j in range(i) if root[i] == root[j]]
+    got, want = (slow_roots(160, *map(np.array, zip(*z, strict=True))) for z in (links + like, true + like))
+    assert got == want and 5 < len(set(got)) < 120 and len(true) > 300
