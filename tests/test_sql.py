@@ -222,6 +222,29 @@ def test_division_in_joins_values_and_defaults(db):
     assert rows(db, "select q.j as j from p join q on p.k / 2 = q.j / 3 and x > 1.0 order by j") == [(3,), (4,)]
 
 
+@pytest.mark.parametrize(
+    ("kind", "on"),
+    [
+        ("inner", "p.x = q.x or p.y = q.y"),
+        ("full", "p.x = q.x or p.y = q.y"),
+        ("left", "(p.x = q.x or p.y + 1 = q.y or y2 = q.x) and p.x < 3"),
+        ("right", "p.x = q.x and p.y < 2 or p.x = q.x and q.y > 1 or p.y = q.x and not q.y = 1"),
+    ],
+)
+def test_joins_on_either_of_two_equalities_compare_no_pairs_without_a_key(db, spark, kind, on):
+    db.execute("create table p (x int, y int, y2 int); insert into p values (1, 1, 2), (1, 1, 2), (2, null, 1), (null, 2, 3), (null, null, null), (5, 6, 7), (3, 1, 1); create table q (x int, y int); insert into q values (1, 1), (1, 2), (null, 2), (null, null), (2, 1), (1, 1), (8, 9), (3, 3)")
+    got = db.execute(f"select p.x as a, p.y as b, p.y2 as e, q.x as c, q.y as d from p {kind} join q on {on}").rows
+    want = db.table("p").df.alias("p").join(db.table("q").df.alias("q"), F.expr(on), kind).select("p.x", "p.y", "p.y2", "q.x", "q.y")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().sparkPlan().toString()) and "Cartesian" not in plan
+    if kind != "inner":
+        return
+    again = db.execute(f"select p.x as a, o.x as c from p {kind} join q on {on} join p o on o.x = q.y or o.y = p.x").rows
+    assert "NestedLoop" not in again._jdf.queryExecution().sparkPlan().toString()
+    want = db.table("p").df.alias("p").join(db.table("q").df.alias("q"), F.expr(on), kind).join(db.table("p").df.alias("o"), F.expr("o.x = q.y or o.y = p.x")).select("p.x", "o.x")
+    assert sorted(map(repr, map(tuple, again.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
 def test_any_column_name_takes_values(db):
     db.execute("create table t (k int, r string); insert into t values (1, 'a'), (2, 'b')")
     assert rows(db, "select k, r from t order by k") == [(1, "a"), (2, "b")]
