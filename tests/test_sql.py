@@ -245,6 +245,42 @@ def test_joins_on_either_of_two_equalities_compare_no_pairs_without_a_key(db, sp
     assert sorted(map(repr, map(tuple, again.collect()))) == sorted(map(repr, map(tuple, want.collect())))
 
 
+@pytest.fixture(scope="module")
+def few_keys(spark, tmp_path_factory):
+    """Two small files of which a join on k meets in very many pairs."""
+    folder = tmp_path_factory.mktemp("few")
+    for name, seed in (("supplier", 1), ("customer", 2)):
+        spark.range(0, 20000, 1, 1).select(F.col("id").alias("i"), (F.col("id") % 5).alias("k"), F.rand(seed).alias("v")).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+def shares(df):
+    """Rows of each task of a join, in order."""
+    return sorted(r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+
+
+def test_joins_of_small_files_on_few_keys_fill_several_tasks(spark, few_keys):
+    import duckdb
+
+    got = Database.over_parquet(spark, few_keys).execute("select s.i as a, c.i as b from supplier s join customer c on s.k = c.k and s.v > c.v").rows
+    own = shares(got)
+    want = duckdb.connect().execute(f"select count(*) from '{few_keys}/supplier.parquet/*.parquet' s join '{few_keys}/customer.parquet/*.parquet' c on s.k = c.k and s.v > c.v").fetchall()
+    assert sum(own) == want[0][0] and len(own) >= 8 and own[-1] < sum(own) / 4
+
+
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "full", "cross"])
+def test_dealing_a_join_out_keeps_its_rows(spark, monkeypatch, kind):
+    from lakemill.operators import relops as R
+
+    a, b = spark.sql("select * from values (1, 1), (1, 1), (2, null), (null, 4), (7, 0) t(x, y)"), spark.sql("select * from values (1, 0), (1, 2), (1, 0), (null, 4), (9, 9) t(u, w)")
+    on = None if kind == "cross" else (F.col("x") == F.col("u")) & (F.col("y") > F.col("w"))
+    want = a.crossJoin(b) if on is None else a.join(b, on, kind)
+    monkeypatch.setattr(R, "FEW_PAIRS", 0)
+    got = R.join(a, b, on, kind)
+    assert ("Repartition " in got._jdf.queryExecution().optimizedPlan().toString()) == (kind != "full")
+    assert got.columns == want.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
 def test_any_column_name_takes_values(db):
     db.execute("create table t (k int, r string); insert into t values (1, 'a'), (2, 'b')")
     assert rows(db, "select k, r from t order by k") == [(1, "a"), (2, "b")]
