@@ -268,6 +268,11 @@ def test_joins_of_small_files_on_few_keys_fill_several_tasks(spark, few_keys):
     assert sum(own) == want[0][0] and len(own) >= 8 and own[-1] < sum(own) / 4
 
 
+def test_self_joins_on_few_keys_fill_several_tasks(spark, few_keys):
+    own = shares(Database.over_parquet(spark, few_keys).execute("select a.i as x, b.i as y from supplier a join supplier b on a.k = b.k").rows)
+    assert sum(own) == 5 * 4000**2 and len(own) >= 8 and own[-1] < sum(own) / 4
+
+
 @pytest.mark.parametrize("kind", ["inner", "left", "right", "full", "cross"])
 def test_dealing_a_join_out_keeps_its_rows(spark, monkeypatch, kind):
     from lakemill.operators import relops as R
